@@ -1,0 +1,36 @@
+"""Ordered work on long series: dense positions and chunks with a halo, so no series has to fit into one task.
+
+A series is cut into blocks of time, positions inside a block come from a window over the block, and the offset of a
+block from a window over the few block counts. Chunks of a fixed number of positions then carry copies of the rows
+just outside them, so that anything which looks at most `halo` rows back or ahead is exact inside every chunk.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+BLOCK_US = 7 * 86_400 * 1_000_000
+
+
+def positions(df: DataFrame, series: Sequence[str], at: str, block_us: int = BLOCK_US) -> DataFrame:
+    """df with `_p`, the position from 0 of each row in its series by the bigint column `at` (no two rows of a series
+    may share it)."""
+    series = list(series)
+    blocked = df.withColumn("_block", F.expr(f"{at} div {block_us}l - if({at} < 0, 1, 0)"))
+    inside = blocked.withColumn("_in", F.row_number().over(Window.partitionBy(*series, "_block").orderBy(at)))
+    counts = inside.groupBy(*series, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*series, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return inside.join(offsets, [*series, "_block"]).withColumn("_p", F.col("_before") + F.col("_in") - 1).drop("_block", "_in", "_before")
+
+
+def chunked(df: DataFrame, rows: int, halo: int) -> DataFrame:
+    """df (with `_p`) with `_chunk`; rows within `halo` of a chunk's edge come again in the neighbour, with `_own` false."""
+    near = F.expr(
+        f"filter(array(_p div {rows}, if(_p % {rows} < {halo} and _p >= {rows}, _p div {rows} - 1, null), "
+        f"if(_p % {rows} >= {rows - halo}, _p div {rows} + 1, null)), x -> x is not null)"
+    )
+    return df.withColumn("_chunk", F.explode(near)).withColumn("_own", F.expr(f"_chunk = _p div {rows}"))
