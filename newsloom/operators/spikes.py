@@ -1,16 +1,18 @@
 """Implausible readings: undecimated Haar wavelet details per series, scaled robustly per source.
 
-The finest detail of a series at row i is the difference to the row before, once of the values (a run of zero details
-is a stuck sensor) and once of the logarithms of the positive values. The scale of a source is the median absolute
-log detail of all its series of one bar_interval, selected exactly by two passes of radix histograms. A spike of one
-to three readings shows as two details beyond eight scales with opposite signs; those candidates are then checked against the
-definition. Readings that are physically impossible are found by bounds.
-
-Series are processed in chunks with a halo (see series.py), so a hot series is spread over many tasks.
-
-Defined results: null, NaN readings are not part of a series; infinite ones are readings without a logarithm; a row
-with a null key column belongs to no series; equal timestamps cannot occur in a series, the earliest delivery stands;
-with no positive neighbours there is no scale and no spike; a scale of zero makes every non-zero detail a large one.
+The finest detail of a series at a row is the difference to the row before, taken of the values (a run of zero details
+is a stuck sensor) and of the logarithms of the positive values. The scale of a source is the median absolute log
+detail over all its series of one bar_interval, selected by two passes of radix histograms. A spike of one to three
+readings begins with a detail beyond eight scales; candidates are then checked against the definition. Physically impossible
+readings are found by bounds.
+
+A series is cut into blocks of BLOCK_SLOTS bar lengths, so a task holds a block and never a whole hot series. What is
+found inside a block holds as it is. What reaches over the border of blocks is found among the first and last EDGE
+readings of every block, put side by side: no case looks further than EDGE readings over a border.
+
+Defined results: null and NaN readings are not part of a series; infinite ones have no logarithm; a row with a null
+key column belongs to no series; the earliest delivery stands for a key; with no two positive neighbours there is no
+scale and no spike; with a scale of zero nothing is a spike, as readings before and after cannot differ by less.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.series import chunked, positions
 from newsloom.operators.trailing import BAR_KEY
 from newsloom.runtime import cut, small
 
@@ -27,93 +28,117 @@ SCALE_KEY = ["source_api", "bar_interval", "field"]
 MOVES = 8.0
 RUN = 6
 LONGEST = 3
-CHUNK_ROWS = 4096
+EDGE = max(RUN, LONGEST + 2)
+BLOCK_SLOTS = 4096
+#: Microseconds of the unit letters of bar intervals (fixed values); other codes count as minutes.
+UNIT_US = {"s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
 
 
-def readings(bars: DataFrame) -> DataFrame:
-    """The delivered readings that count, in series order: series, t (microseconds), close, volume."""
-    src = bars.where(" and ".join(f"{c} is not null" for c in BAR_KEY)).select(*SERIES, F.unix_micros(F.col("bar_ts").cast("timestamp")).alias("t"), "close", "volume", "ingested_at")
-    w = Window.partitionBy(*SERIES, "t").orderBy(F.col("ingested_at").asc_nulls_last(), "close", "volume")
-    return src.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth", "ingested_at")
+def _block() -> Column:
+    unit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in UNIT_US.items() for x in kv)), F.lower(F.regexp_extract("bar_interval", r"^\d+(\w)", 1))), F.lit(UNIT_US["m"]))
+    amount = F.greatest(F.lit(1), F.coalesce(F.regexp_extract("bar_interval", r"^(\d+)", 1).try_cast("bigint"), F.lit(1)))
+    return F.floor(F.col("t") / (unit * amount * BLOCK_SLOTS))
 
 
-def _details(bars: DataFrame) -> DataFrame:
-    """One row per reading and field: x, position p; lnx. Long form, without nulls of the field, in chunks."""
-    long = readings(bars).select(*SERIES, "t", F.explode(F.array(F.struct(F.lit("close").alias("field"), F.col("close").cast("double").alias("x")), F.struct(F.lit("volume").alias("field"), F.col("volume").cast("double").alias("x")))).alias("r")).select(*SERIES, "r.field", "t", "r.x")
-    return long.where("x is not null and not isnan(x)")
+def readings(bars: DataFrame) -> DataFrame:
+    """One row per reading that counts: series, block, field, t (microseconds), x, l (its logarithm, null without one).
+
+    One shuffle by series and block serves the deduplication and all windows inside blocks."""
+    raw = bars.where(" and ".join(f"{c} is not null" for c in BAR_KEY)).select(*SERIES, F.unix_micros(F.col("bar_ts").cast("timestamp")).alias("t"), F.col("close").cast("double"), F.col("volume").cast("double"), "ingested_at")
+    placed = raw.withColumn("block", _block()).repartition(*SERIES, "block")
+    w = Window.partitionBy(*SERIES, "block", "t").orderBy(F.col("ingested_at").asc_nulls_last(), F.col("close").asc_nulls_last(), F.col("volume").asc_nulls_last())
+    one = placed.withColumn("nth", F.row_number().over(w)).where("nth = 1")
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in ("close", "volume")))
+    long = one.select(*SERIES, "block", "t", F.inline(fields)).where("x is not null and not isnan(x)")
+    return long.withColumn("l", F.when((F.col("x") > 0) & (F.col("x") < float("inf")), F.ln("x")))
 
 
 def median_move(details: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The median of the non-negative doubles `value` per group, both middle values averaged, by radix selection on the
-    bits of the double: a histogram of the leading 20 bits, then one of the next 22 within the bins that hold the
-    middle. Bins are counted map-side, so what is shuffled is bounded by the number of bins, not of rows. Values of a
-    last bin agree in 30 bits of the mantissa; the least of them stands."""
-
-    def middle(hist: DataFrame, extra: list[str]) -> DataFrame:
-        run = Window.partitionBy(*by).orderBy(*extra)
-        total = Window.partitionBy(*by)
-        return hist.withColumn("_to", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(total)).withColumn("_from", F.col("_to") - F.col("_n"))
-
-    bits = details.where(f"{value} is not null").select(*by, F.col(value).alias("_v"))
-    e = F.when(F.col("_v") > 0, F.floor(F.log2("_v"))).otherwise(F.lit(-1100)).cast("int")
-    scaled = F.when(F.col("_v") > 0, F.col("_v") / F.pow(F.lit(2.0), F.col("_e"))).otherwise(F.lit(0.0))
-    coded = bits.withColumn("_e", e).withColumn("_m", F.floor(scaled * 256).cast("int"))
-    coarse = middle(coded.groupBy(*by, "_e", "_m").agg(F.count(F.lit(1)).alias("_n")), ["_e", "_m"])
-    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
-    bins = coarse.where((F.col("_from") <= hi) & (F.col("_to") > lo)).select(*by, "_e", "_m", F.col("_from").alias("_base"), F.col("_all").alias("_total"))
-    bins = small(cut(bins, "median-bins"))
-    fine = coded.join(bins, [*by, "_e", "_m"]).withColumn("_f", F.floor(scaled * 2.0**30).cast("bigint"))
-    inner = fine.groupBy(*by, "_e", "_m", "_f").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.first("_base").alias("_base"), F.first("_total").alias("_total"))
-    run = Window.partitionBy(*by, "_e", "_m").orderBy("_f")
-    inner = inner.withColumn("_to", F.col("_base") + F.sum("_n").over(run)).withColumn("_from", F.col("_to") - F.col("_n"))
-    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    at_lo = F.min(F.when((F.col("_from") <= lo) & (F.col("_to") > lo), F.col("_least")))
-    at_hi = F.min(F.when((F.col("_from") <= hi) & (F.col("_to") > hi), F.col("_least")))
-    return inner.groupBy(*by).agg(((at_lo + at_hi) / 2).alias("move"))
+    """The median `move` of the non-negative doubles `value` per group, both middle values averaged, by radix selection:
+    a histogram of exponent and 8 leading bits, then one of 22 further bits within the bins that hold the middle. Bins
+    are counted map-side, so what is shuffled is bounded by the number of bins, not of rows. Values of a last bin
+    agree in 30 bits; the least of them stands."""
+    exponent = F.when(F.col("v") > 0, F.floor(F.log2("v"))).otherwise(F.lit(-1100)).cast("int")
+    scaled = F.when(F.col("v") > 0, F.col("v") / F.pow(F.lit(2.0), F.col("e"))).otherwise(F.lit(0.0))
+    coded = details.where(f"{value} is not null").select(*by, F.col(value).alias("v")).withColumn("e", exponent).withColumn("m", F.floor(scaled * 256).cast("int"))
+    run = Window.partitionBy(*by).orderBy("e", "m")
+    coarse = coded.groupBy(*by, "e", "m").agg(F.count(F.lit(1)).alias("n"))
+    coarse = coarse.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(*by))).withColumn("base", F.col("upto") - F.col("n"))
+    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    bins = small(cut(coarse.where((F.col("base") <= hi) & (F.col("upto") > lo)).select(*by, "e", "m", "base", "total"), "median-bins"))
+    fine = coded.join(bins, [*by, "e", "m"]).withColumn("f", F.floor(scaled * 2.0**30).cast("bigint"))
+    inner = fine.groupBy(*by, "e", "m", "f").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.min("base").alias("base"), F.min("total").alias("total"))
+    inner = inner.withColumn("upto", F.col("base") + F.sum("n").over(Window.partitionBy(*by, "e", "m").orderBy("f"))).withColumn("base", F.col("upto") - F.col("n"))
+    at = [F.min(F.when((F.col("base") <= k) & (F.col("upto") > k), F.col("least"))) for k in (lo, hi)]
+    return inner.groupBy(*by).agg(((at[0] + at[1]) / 2).alias("move"))
+
+
+def _stuck(by) -> Column:
+    """For rows with `zero` (whether the detail is zero): whether the row is in a run of RUN equal readings."""
+    return F.max("ends").over(by.rowsBetween(0, RUN - 1)) == 1
+
+
+def _with_stuck(rows: DataFrame, by) -> DataFrame:
+    zero = rows.withColumn("zero", F.when(F.col("x") == F.lag("x").over(by), 1).otherwise(0))
+    ends = zero.withColumn("ends", F.when(F.sum("zero").over(by.rowsBetween(2 - RUN, 0)) == RUN - 1, 1).otherwise(0))
+    return ends.withColumn("stuck", _stuck(by)).drop("zero", "ends")
+
+
+def _with_spike(rows: DataFrame, by) -> DataFrame:
+    """For rows with `l` and `far`: whether the reading belongs to a spike; rows without a logarithm are passed over."""
+
+    def starts(k: int) -> Column:
+        inside = [F.col("l"), *(F.col(f"a{j}") for j in range(1, k))]
+        before, after = F.col("b1"), F.col(f"a{k}")
+        top, low = F.greatest(before, after), F.least(before, after)
+        up = (F.least(*inside) if k > 1 else inside[0]) - top > F.col("far")
+        down = low - (F.greatest(*inside) if k > 1 else inside[0]) > F.col("far")
+        whole = F.col(f"a{k}").isNotNull()
+        return whole & (F.abs(before - after) < F.col("far")) & (up | down)
+
+    ordered = rows.where("l is not null").withColumns({"b1": F.lag("l").over(by), **{f"a{j}": F.lead("l", j).over(by) for j in range(1, LONGEST + 1)}})
+    detail = F.abs(F.col("l") - F.col("b1")) > F.col("far")
+    length = F.when(detail, F.coalesce(*(F.when(starts(k), F.lit(k)) for k in range(LONGEST, 0, -1)), F.lit(0))).otherwise(0)
+    marked = ordered.withColumn("len", length)
+    return marked.withColumn("spike", F.greatest(F.col("len"), *(F.lag("len", j).over(by) - j for j in range(1, LONGEST))) > 0)
 
 
 def suspicious(bars: DataFrame) -> DataFrame:
     """The bad readings: series, bar_us, field, impossible, stuck, spike."""
-    halo = max(RUN, 2 * LONGEST + 1)
-    rows = _details(bars)
     key = [*SERIES, "field"]
-    base = cut(chunked(positions(rows, key, "t"), CHUNK_ROWS, halo), "readings")
-    by = Window.partitionBy(*key, "_chunk").orderBy("_p")
-    run = by.rowsBetween(2 - RUN, 0)
-    zero = base.withColumn("_zero", (F.col("x") - F.lag("x").over(by) == 0).cast("int"))
-    ended = zero.withColumn("_end", F.when(F.sum("_zero").over(run) == RUN - 1, 1).otherwise(0))
-    stuck = F.max("_end").over(by.rowsBetween(0, RUN - 1)) == 1
-    impossible = F.when(F.col("field") == "close", F.col("x") <= 0).otherwise(F.col("x") < 0)
-    plain = ended.withColumn("stuck", stuck).withColumn("impossible", impossible).where("_own and (stuck or impossible)")
-    plain = plain.select(*key, "t", "impossible", "stuck", F.lit(False).alias("spike"))
-
-    # Positive readings have their own order, so positions are taken anew.
-    logs = rows.where("x > 0 and x < double('inf')").withColumn("l", F.ln("x")).drop("x")
-    logs = cut(chunked(positions(logs, key, "t"), CHUNK_ROWS, halo), "logs")
-    detail = logs.withColumn("d", F.col("l") - F.lag("l").over(by))
-    moves = median_move(detail.where("_own and d is not null").withColumn("a", F.abs("d")), SCALE_KEY, "a")
-    wide = detail.join(small(cut(moves, "moves")), SCALE_KEY).withColumn("_far", F.lit(MOVES) * F.col("move"))
-
-    def starts(k: int) -> Column:
-        """Whether a spike of k readings starts here, told from the details: in, across, out."""
-        before = F.lag("l").over(by)
-        after = F.lead("l", k).over(by)
-        inside = [F.col("l"), *(F.lead("l", j).over(by) for j in range(1, k))]
-        far, top, low = F.col("_far"), F.greatest(before, after), F.least(before, after)
-        up = F.lit(True)
-        down = F.lit(True)
-        for x in inside:
-            up &= x - top > far
-            down &= low - x > far
-        return F.coalesce(before.isNotNull() & after.isNotNull() & (F.abs(before - after) < far) & (up | down), F.lit(False))
-
-    entry = F.coalesce(F.abs("d") > F.col("_far"), F.lit(False))
-    marked = wide.withColumn("_len", F.array(*(F.when(entry & starts(k), F.lit(k)).otherwise(0) for k in range(1, LONGEST + 1)))).withColumn("_len", F.array_max("_len"))
-    covered = F.greatest(F.col("_len"), *(F.lag("_len", j).over(by) - j for j in range(1, LONGEST)))
-    spiky = marked.withColumn("spike", covered > 0).where("_own and spike")
-    spiky = spiky.select(*key, "t", F.lit(False).alias("impossible"), F.lit(False).alias("stuck"), "spike")
-    return (
-        plain.unionByName(spiky)
-        .groupBy(*SERIES, F.col("t").alias("bar_us"), "field")
-        .agg(F.max("impossible").alias("impossible"), F.max("stuck").alias("stuck"), F.max("spike").alias("spike"))
+    rows = readings(bars)
+    by = Window.partitionBy(*key, "block").orderBy("t")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ln_by = F.sum(F.when(F.col("l").isNotNull(), 1).otherwise(0))
+    near = rows.withColumns({"p": F.row_number().over(by), "n": F.count(F.lit(1)).over(whole), "q": ln_by.over(by.rowsBetween(Window.unboundedPreceding, 0)), "m": ln_by.over(whole), "b": F.last("l", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))})
+    value_edge = (F.col("p") <= EDGE) | (F.col("p") > F.col("n") - EDGE)
+    log_edge = F.col("l").isNotNull() & ((F.col("q") <= EDGE) | (F.col("q") > F.col("m") - EDGE))
+    edge = F.when(value_edge | log_edge, F.struct("symbol", "block", "t", "x", "l", "p", "q", value_edge.alias("v"), log_edge.alias("g")))
+    base = cut(near.select(*SCALE_KEY, F.abs(F.col("l") - F.col("b")).alias("a"), edge.alias("edge")), "details")
+    edges = base.where("edge is not null").select(*SCALE_KEY, "edge.*")
+
+    def joined(kept: str, place: str) -> tuple[DataFrame, Column]:
+        """The edge readings of a series side by side; where a block's middle was left out, a new stretch begins."""
+        along = Window.partitionBy(*key).orderBy("t")
+        gap = F.when((F.lag("block").over(along) == F.col("block")) & (F.lag(place).over(along) != F.col(place) - 1), 1).otherwise(0)
+        laid = edges.where(kept).withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        return laid, Window.partitionBy(*key, "stretch").orderBy("t")
+
+    logs, log_by = joined("g", "q")
+    across = logs.withColumn("a", F.when(F.lag("block").over(log_by) != F.col("block"), F.abs(F.col("l") - F.lag("l").over(log_by)))).select(*SCALE_KEY, "a")
+    moves = small(cut(median_move(base.select(*SCALE_KEY, "a").unionAll(across), SCALE_KEY, "a"), "moves"))
+
+    def cases(found: DataFrame, stuck: Column, spike: Column) -> DataFrame:
+        impossible = F.when(F.col("field") == "close", F.col("x") <= 0).otherwise(F.col("x") < 0)
+        return found.select(*key, "t", impossible.alias("impossible"), stuck.alias("stuck"), spike.alias("spike")).where("impossible or stuck or spike")
+
+    scaled = rows.join(moves, SCALE_KEY, "left").withColumn("far", MOVES * F.col("move"))
+    no = F.lit(False)
+    values, value_by = joined("v", "p")
+    found = (
+        cases(_with_stuck(rows, by), F.col("stuck"), no)
+        .unionByName(cases(_with_spike(scaled, by), no, F.coalesce("spike", no)))
+        .unionByName(cases(_with_stuck(values, value_by), F.col("stuck"), no))
+        .unionByName(cases(_with_spike(logs.join(moves, SCALE_KEY, "left").withColumn("far", MOVES * F.col("move")), log_by), no, F.coalesce("spike", no)))
     )
+    return found.groupBy(*SERIES, F.col("t").alias("bar_us"), "field").agg(F.max("impossible").alias("impossible"), F.max("stuck").alias("stuck"), F.max("spike").alias("spike"))
