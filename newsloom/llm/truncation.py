@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.runtime import earliest, small
+from newsloom.runtime import cut, earliest, small
 
 FIELDS = ("summary", "content_snippet")
 #: A limit: at least so many endless values at a length, and so many times the mean of the lengths around it.
@@ -23,6 +23,7 @@ LEAST, TIMES, AROUND = 8, 5, 12
 
 _MARK = r"(?:\s*\[\+?\d+ ?(?:chars|characters|more)?\]|\s*…|\s*\.{3}|\x{FFFD}|\s+)+$"
 _BROKEN = r"(?:&(?:#x?[0-9a-fA-F]{0,6}|[a-z]{0,6})|<[A-Za-z/!][^<>]*)$"
+_OPEN_TAG = r"<[A-Za-z/!][^<>]*$"
 _END = r"[.!?。！？]['\"”’»)\]]*"
 _NAME = r"\p{Lu}[\p{L}\p{N}&'’]*(?: (?:&|\p{Lu}[\p{L}\p{N}&'’]*|and|of|the))*"
 #: Closing lines: source, link, tag, ticker, desk and section lines, bracketed remarks.
@@ -37,7 +38,7 @@ _CLOSER = (
     r"|(?:©|\(c\)) .+)"
 )
 _WHOLE = rf"{_END}$|(?:{_END}\s+|^\s*){_CLOSER}(?:\s+{_CLOSER})*$"
-_NUMBER = r"(?:^|[^\p{N}.,])\p{Sc}?\p{N}+\.$"
+_NUMBER = r"(?:^|[^\p{N}.,])\p{Sc}?\p{N}{1,3}\.$"
 
 
 def _bare(c: Column) -> Column:
@@ -52,8 +53,10 @@ def endings(articles: DataFrame) -> DataFrame:
         text = _bare(F.col(f))
         broken = text.rlike(_BROKEN)
         plain = F.regexp_replace(text, _MARK, "")
+        plain_end = F.right(text, F.lit(4)).rlike(r"(?:[^.\p{N}…]\.|[!?。！？])$") & ~text.rlike(_OPEN_TAG)
         kind = (
-            F.when(text == F.trim(F.coalesce("headline", F.lit(""))), 0)
+            F.when(plain_end, 0)  # most values: settled by their last characters
+            .when(text == F.trim(F.coalesce("headline", F.lit(""))), 0)
             .when(broken, 2)
             .when(plain.rlike(_NUMBER), 1)
             .when(plain.rlike(_WHOLE), 0)
@@ -80,7 +83,7 @@ def limits(values: DataFrame) -> DataFrame:
 def judged(articles: DataFrame) -> DataFrame:
     """The values that count with `cut` and `at_limit`."""
     one = earliest(endings(articles), ["dedupe_key"], ["source_api"])
-    values = one.select("dedupe_key", "source_api", F.inline("values"))
+    values = cut(one.select("dedupe_key", "source_api", F.inline("values")), "endings")  # texts are read once
     spikes = limits(values)
     marks = spikes.groupBy(F.col("source_api").alias("s"), F.col("field").alias("f")).agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("b")
