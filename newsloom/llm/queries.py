@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import leaks, nearest, similar, tokens, truncation
+from newsloom.llm import abuse, leaks, nearest, similar, tokens, truncation
 from newsloom.runtime import table
 
 #: Where the public vocabularies lie; a parameter, the files are not part of this repository.
@@ -51,7 +51,19 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_stories, p3_found, p3_rates, p6_found, p7_ids, p8_found, p8_items, p8_clean)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_stories, p3_found, p3_rates, p6_found, p7_ids, p8_found, p8_items, p8_clean, p9_found, p9_scores, p9_rates)}
 
 ORACLES = {
     "p6_found": """
