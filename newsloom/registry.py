@@ -1,6 +1,6 @@
 """Every query of the core by name, and its SQL where SQL can say it."""
 
-from newsloom.plans import problems
+from newsloom.plans import market, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**market.QUERIES, **problems.QUERIES}
+ORACLES = {**market.ORACLES, **problems.ORACLES}
