@@ -100,6 +100,7 @@ def parse(field: str | None) -> list[tuple[str, str | None]]:
     if s[0] == "[" and s[-1] == "]" and "[" not in s[1:-1]:
         s = s[1:-1]
     i, n = 0, len(s)
+    hopeless: set[str] = set()  # quotes that have no close further on: tried once, remembered
     while i < n:
         i = _BLANK.match(s, i).end()
         if i >= n:
@@ -110,7 +111,7 @@ def parse(field: str | None) -> list[tuple[str, str | None]]:
             i = _BLANK.match(s, r.end()).end()
             if i < n and s[i] == "]":
                 i += 1
-        elif c in QUOTES and (q := _quoted(s, i)):
+        elif c in QUOTES and c not in hopeless and (q := _quoted(s, i)):
             if q[0].strip():
                 found.append((q[0].strip(), None))
             i = _BLANK.match(s, q[1]).end()
@@ -121,6 +122,8 @@ def parse(field: str | None) -> list[tuple[str, str | None]]:
             continue
         else:
             start = i
+            if c in QUOTES:
+                hopeless.add(c)
             if c in QUOTES and c not in "'‘":
                 start, error = i + 1, "unclosed_quote"
             elif c in "'‘" and QUOTES[c] not in s[i + 1 :]:

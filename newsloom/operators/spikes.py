@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.trailing import BAR_KEY
-from newsloom.runtime import cut, small
+from newsloom.runtime import cut, micros, small
 
 SERIES = ["source_api", "symbol", "bar_interval"]
 SCALE_KEY = ["source_api", "bar_interval", "field"]
@@ -44,7 +44,7 @@ def readings(bars: DataFrame) -> DataFrame:
     """One row per reading that counts: series, block, field, t (microseconds), x, l (its logarithm, null without one).
 
     One shuffle by series and block serves the deduplication and all windows inside blocks."""
-    raw = bars.where(" and ".join(f"{c} is not null" for c in BAR_KEY)).select(*SERIES, F.unix_micros(F.col("bar_ts").cast("timestamp")).alias("t"), F.col("close").cast("double"), F.col("volume").cast("double"), "ingested_at")
+    raw = bars.where(" and ".join(f"{c} is not null" for c in BAR_KEY)).select(*SERIES, micros("bar_ts").alias("t"), F.col("close").cast("double"), F.col("volume").cast("double"), "ingested_at")
     placed = raw.withColumn("block", _block()).repartition(*SERIES, "block")
     w = Window.partitionBy(*SERIES, "block", "t").orderBy(F.col("ingested_at").asc_nulls_last(), F.col("close").asc_nulls_last(), F.col("volume").asc_nulls_last())
     one = placed.withColumn("nth", F.row_number().over(w)).where("nth = 1")

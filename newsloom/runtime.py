@@ -6,13 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a driver-checked side is broadcast; beyond it the join stays a shuffle join.
 MAX_BROADCAST_ROWS = 100_000
 
 
+def micros(c: str) -> Column:
+    """Microseconds since 1970 of a timestamp that holds UTC, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
