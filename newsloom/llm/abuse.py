@@ -66,6 +66,11 @@ for _w in sorted(LISTED):
     _BY_LENGTH.setdefault((len(_w), _w[0]), []).append(_w)
 
 
+_INSIDE = re.compile("|".join(sorted((w for w in LISTED if len(w) >= 5), key=lambda w: (-len(w), w))))
+#: Letters up to which a run of single letters is split into listed words exactly.
+LONGEST_RUN = 40
+
+
 def _unmask(t: str) -> str | None:
     if t[0] == "*":
         return None
@@ -137,12 +142,18 @@ def plain(segment: str) -> tuple[str, bool]:
     def joined(m: re.Match) -> str:
         nonlocal disguised
         letters = re.sub(r"(?<=.)[ .\-_·]", "", m[0]) if m[1] != "*" else m[0].replace("*", "")
+        if len(letters) > LONGEST_RUN:  # more than a few words: take the listed words inside
+            inside = _INSIDE.findall(letters)
+            disguised |= bool(inside)
+            return " ".join(inside) if inside else m[0]
         w = _split_joined(letters)
         if w is None and len(letters) > 4:
             for k in (1, 2):  # an article or pronoun before the word
                 if letters[:k] in ("a", "i", "u") and (w := _split_joined(letters[k:])):
                     w = f"{letters[:k]} {w}"
                     break
+        if w is None and (inside := _INSIDE.findall(letters)):
+            w = " ".join(inside)
         if w is None:
             return m[0]
         disguised = True

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.runtime import earliest
+from newsloom.runtime import earliest, micros
 
 #: Bits of a microsecond timestamp inside a block: 2^37 us are about 38 hours.
 BITS = 37
@@ -115,8 +115,7 @@ def _symbol() -> Column:
 
 def articles_to_bars(articles: DataFrame, bars: DataFrame, tolerance_s: int = 900) -> DataFrame:
     """dedupe_key and bar_us of each article with a symbol and a publishing time and its nearest bar that is not a 1d bar."""
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     one = earliest(articles.select("dedupe_key", "symbol", "published_at", "ingested_at"), ["dedupe_key"], ["symbol", "published_at"])
-    records = one.select(F.col("dedupe_key").alias("id"), _symbol().alias("entity"), us("published_at").alias("t")).where("t <> 0")
-    keys = bars.where("bar_interval <> '1d'").select(_symbol().alias("entity"), us("bar_ts").alias("t"))
+    records = one.select(F.col("dedupe_key").alias("id"), _symbol().alias("entity"), micros("published_at").alias("t")).where("t <> 0")
+    keys = bars.where("bar_interval <> '1d'").select(_symbol().alias("entity"), micros("bar_ts").alias("t"))
     return pair_nearest(records, keys, tolerance_s * 1_000_000).select(F.col("id").alias("dedupe_key"), F.col("at").alias("bar_us"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from newsloom.runtime import cut, earliest
 
-TABLES, N = 5, 4
+TABLES, N = 7, 4
 SKETCH = 96
 #: Sketch bits that may differ: at the least weighted similarity seen for similar pairs (0.54) 22 do on average, sd 4.
 SKETCH_DIFFERS = 31
