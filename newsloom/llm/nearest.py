@@ -8,7 +8,8 @@ greatest key is the successor or the predecessor, and the list gives the other.
 block's border come in both blocks, so each record is looked up in its own block only.
 
 A group's rows arrive sorted, keys first; the trie is built only when a lookup follows, and lookups are streamed, so
-memory is bounded by the distinct keys of one entity in one block.
+memory is bounded by the distinct keys of one entity in one block. A group with over HOT lookups is split into parts that
+each get its keys.
 
 Defined results: records without entity (null, blank) or time (null, the epoch) pair with nothing; of two equally near
 keys the earlier counts; repeated keys count once; a key equal in time counts as nearest; nothing within the tolerance
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.runtime import earliest, micros
+from newsloom.runtime import earliest, micros, small
 
 #: Bits of a microsecond timestamp inside a block: 2^37 us are about 38 hours.
 BITS = 37
+#: Lookups of a group from which on it is split into parts.
+HOT = 200_000
 SCHEMA = "id string, at bigint"
 
 
@@ -68,9 +71,9 @@ def _look_up(tolerance: int):
         group, keys, trie = None, [], None
         for b in batches:
             ids, found = [], []
-            for entity, block, t, id_ in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if (entity, block) != group:
-                    group, keys, trie = (entity, block), [], None
+            for entity, block, t, id_, part in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if (entity, block, part) != group:
+                    group, keys, trie = (entity, block, part), [], None
                 if id_ is None:
                     if not keys or keys[-1] != t:
                         keys.append(t)
@@ -104,7 +107,14 @@ def pair_nearest(records: DataFrame, keys: DataFrame, tolerance_us: int) -> Data
     near = F.array_distinct(F.array(F.shiftright(F.col("t") - tolerance_us, BITS), F.shiftright("t", BITS), F.shiftright(F.col("t") + tolerance_us, BITS)))
     k = keys.where("entity is not null and t is not null").select("entity", F.explode(near).alias("block"), "t", F.lit(None).cast("string").alias("id"))
     r = records.where("entity is not null and t is not null and id is not null").select("entity", block.alias("block"), "t", "id")
-    spread = k.unionByName(r).repartition("entity", "block").sortWithinPartitions("entity", "block", F.col("id").isNotNull(), "t")
+    # a group with very many lookups is split; its keys go to every part
+    hot = r.groupBy("entity", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("entity", "block", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    hot = small(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    k = k.join(hot, ["entity", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    r = r.join(hot, ["entity", "block"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    columns = ["entity", "block", "t", "id", "part"]
+    spread = k.select(*columns).unionByName(r.select(*columns)).repartition("entity", "block", "part").sortWithinPartitions("entity", "block", "part", F.col("id").isNotNull(), "t")
     return spread.mapInArrow(_look_up(tolerance_us), SCHEMA)
 
 
