@@ -47,6 +47,7 @@ def run(a, b):
 def test_against_brute_force(make_articles, make_bars, monkeypatch, bits):
     """Blocks of 2^30 us and more; the smallest is raised to hold the tolerance."""
     monkeypatch.setattr(nearest, "BITS", max(bits, 30))
+    monkeypatch.setattr(nearest, "HOT", 5 if bits == 32 else 200_000)
     rng = random.Random(bits)
     at = lambda: T0 + timedelta(microseconds=rng.randrange(0, 3 * 86_400_000_000))
     articles = [{"dedupe_key": f"k{n}", "symbol": rng.choice(["S", " s ", "T", "", None, "U"]), "published_at": rng.choice([at(), at(), at(), None, datetime(1970, 1, 1)]), "ingested_at": T0} for n in range(400)]
