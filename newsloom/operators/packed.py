@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newsloom.runtime import earliest
+from newsloom.runtime import earliest, ship
 
 #: Separators that stand alone, closing quotes by opening quote.
 SEPARATORS = ",;|\t\r\n、，；·•"
@@ -153,5 +153,6 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def split_packed(articles: DataFrame, field: str = "related") -> DataFrame:
     """One row per value of `field` of the delivery that counts: dedupe_key, pos, value, error."""
+    ship(articles.sparkSession)
     counted = earliest(articles.select("dedupe_key", field, "ingested_at"), ["dedupe_key"], [field])
     return counted.where(f"{field} is not null").select("dedupe_key", field).mapInArrow(_split, SCHEMA)

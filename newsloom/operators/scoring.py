@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import clean
+from newsloom.runtime import ship
 
 EMPTY = "empty_text"
 LEXICON_MODEL = "lexicon-1"
@@ -53,6 +54,7 @@ def score_lexicon(articles: DataFrame, model_id: str = LEXICON_MODEL) -> DataFra
 
 def score_with(articles: DataFrame, load: Callable[[], Scorer], model_id: str, batch_size: int = 8) -> DataFrame:
     """Sentiment rows by a scorer that each worker loads once. A batch that fails gives its rows an error."""
+    ship(articles.sparkSession)
     text = articles.select("dedupe_key", clean.model_text(F.col("headline"), F.col("summary")).alias("_text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of all executors this package, once per application, so nothing has to be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    where = Path(tempfile.mkdtemp(prefix="newsloom-code-"), "newsloom_code.zip")  # served by the driver's own file server
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(where))
+    _SHIPPED.add(app)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: a cut of the lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/newsloom/{name}-{uuid.uuid4().hex}"

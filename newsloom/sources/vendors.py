@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from newsloom.functions.clean import INTERVALS, symbol_list
+from newsloom.runtime import ship
 from newsloom.sources import normalize
 
 TIMEOUT_S = 60
@@ -175,6 +176,7 @@ class Vendor:
     options: dict[str, str] = field(default_factory=dict)
 
     def payloads(self, symbols: list[str] | str, **options: object) -> DataFrame:
+        ship(self.spark)
         self.spark.dataSource.register(VendorSource)
         given = self.options | {k: str(v) for k, v in options.items() if v is not None}
         return self.spark.read.format("newsloom_vendor").options(vendor=self.vendor, symbols=",".join(symbol_list(symbols)), **given).load()
