@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import abuse_words as A
+from newsloom.runtime import ship
 
 PER_PATTERN, WITHOUT_VOTES, SAMPLE = 300, 12_000, 40_000
 FEATURES = 1 << 16
 CUTOFF = 0.5
+AROUND = 6
 
 _SEGMENT = re.compile(r"(?<=[.!?…。！？])[\"'”)]*\s+|[。！？]+|[\r\n  \x0b\x0c\x85]+")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Variation_Selector}͏]+")
@@ -57,7 +59,7 @@ def _forms(ws: list[str]) -> set[str]:
 
 
 LISTED = _forms(A.STRONG + A.SOFT + A.ADJECTIVES + A.SEXUAL + A.FOREIGN) | set(A.DEHUMANIZING) | {"shit", "fuck", "killed", "fucking", "dumb"} | _forms(A.VIOLENT)
-TRIGGERS = LISTED | set(A.GROUPS) | {"you", "your", "yourself", "off", "lost", "hell", "whoever", "deport", "every", "wipe", "favour", "favor", "razor", "bleach", "cliff", "blow", "noose", "du", "dich", "te", "ta", "seu", "cala", "vai", "ces", "esos", "esses", "diese", "sale", "gueule", "fuera", "fora"}
+TRIGGERS = LISTED | set(A.GROUPS) | {"you", "your", "yourself", "off", "lost", "hell", "whoever", "deport", "every", "wipe", *"typical lying stealing cheating greedy thieving scheming whining breed breeds keep deserve someone somebody should never next ditch hospital birth driven thrown kicked chased".split(), "favour", "favor", "razor", "bleach", "cliff", "blow", "noose", "du", "dich", "te", "ta", "seu", "cala", "vai", "ces", "esos", "esses", "diese", "sale", "gueule", "fuera", "fora"}
 _SQUEEZED: dict[str, str] = {}
 for _w in sorted(LISTED, key=lambda w: (len(w), w)):
     _SQUEEZED.setdefault(re.sub(r"(.)\1+", r"\1", _w), _w)
@@ -231,9 +233,22 @@ def segments(text: str | None) -> list[str]:
     return [p for s in _SEGMENT.split(text) if s and (p := s.strip())] if text else []
 
 
+def _around(words: list[str]) -> list[str]:
+    """The words within AROUND places of a listed one, so that what else a long segment says does not weigh in."""
+    hits = [k for k, w in enumerate(words) if w in LISTED]
+    if not hits or len(words) <= 2 * AROUND:
+        return words
+    near = bytearray(len(words))
+    for k in hits:
+        near[max(0, k - AROUND) : k + AROUND + 1] = b"\x01" * (min(len(words), k + AROUND + 1) - max(0, k - AROUND))
+    return [w for w, n in zip(words, near) if n]
+
+
 def features(bits: int, words: list[str]) -> list[int]:
-    """Hashed words and pairs; words that are neither listed nor triggers count as themselves, too."""
+    """The votes, and hashed words and word pairs (of a segment with votes, those around its listed words)."""
     out = {k for k in range(len(NAMES)) if bits >> k & 1}
+    if bits:
+        words = _around(words)
     previous = "^"
     for w in words:
         out.add(len(NAMES) + xxhash.xxh32_intdigest(w) % (FEATURES - len(NAMES)))
@@ -338,6 +353,7 @@ class Classifier:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
+    ship(documents.sparkSession)
     counted = documents.select("text").where("text is not null").mapInArrow(_count, "bits bigint, n bigint, h bigint, segment string")
     totals = counted.groupBy("bits").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set(F.when(F.col("h").isNotNull(), F.struct("h", "segment")))), 1, F.when(F.col("bits") == 0, WITHOUT_VOTES).otherwise(PER_PATTERN)).alias("kept")).toPandas()
     counts = {int(r.bits): int(r.n) for r in totals.itertuples()}

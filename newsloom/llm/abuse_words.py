@@ -79,7 +79,7 @@ _BODY = r"(?:teeth|legs?|knees?|neck|jaw|ribs|head|skull|face|arms?|fingers|bone
 THREAT = (
     rf"\b(?:i|we|they|someone|somebody|ill|i'll|gonna|will|should)\b.{{0,40}}\b(?:kill|stab|shoot|strangle|smash|stomp|break|burn|hang|hunt|bash|crush|slit|beat|hurt|gut|cut|murder|end|find|get|visit|choke|bury)\W+(?:\w+\W+)?(?:you|u|your|ur)\b"
     rf"|\bi know where (?:you|u|your)\b|\byou (?:deserve|need|get|will get|earned)\b.{{0,10}}\b(?:bullet|knife|rope|noose|beating|coffin|grave|kicking)\b|\bwatch your back\b|\b(?:kill|hang|shoot|drown|burn|off|neck|cut) (?:yourself|urself|yourselves|themselves)\b|\bgo hang\b"
-    rf"|\b(?:keep|go on) \w+ing and (?:you|i|we)\b.{{0,25}}\b(?:bullet|coffin|grave|knife|die|dead|blood|box|bag|bleed|hospital|wheelchair)|\bshould be (?:lynched|shot|hanged|hung|gassed|stabbed|burned|burnt|strangled|beaten|drowned|executed|exterminated|put down|stoned|skinned|killed|knifed)\b|\byou(?:'re| are) (?:dead|a dead)\b"
+    rf"|\b(?:keep|go on) \w+ing and (?:you|i|we)\b.{{0,25}}\b(?:bullet|coffin|grave|knife|die|dead|blood|box|bag|bleed|hospital|wheelchair|ditch|river|morgue|hearse|ground)|\bshould be (?:lynched|shot|hanged|hung|gassed|stabbed|burned|burnt|strangled|beaten|drowned|executed|exterminated|put down|stoned|skinned|killed|knifed)\b|\byou(?:'re| are) (?:dead|a dead)\b"
     rf"|\b(?:next time|when|if) i (?:see|meet|find|catch) (?:you|u)\b|\b(?:smash|break|stomp|bash|crush|kick in)\w* (?:your|ur|his|her|their) {_BODY}\b|\b(?:burn|blow up|torch|set fire to|poison) (?:your|ur)\b|\bdo (?:us|everyone|the world|me|humanity) (?:all )?a favou?r\b|\b(?:swallow|eat|drink|take) (?:a |some |the )?(?:razor|bleach|bullet|poison|glass|gun|rope)\w*\b|\bjump (?:off|under|in front of)\b|\bput a bullet\b|\bmake you (?:bleed|scream|beg|suffer|pay|cry)\b"
 )
 EXPLICIT = (
@@ -102,7 +102,7 @@ REPORT = (
 #: Market and trade talk that sounds rough.
 IDIOM = (
     r"\bshort sellers? got\b|\bnaked (?:puts?|calls?|shorts?|short|debentures?|options?|position)\b|\bstrip(?:s|ped|ping)? (?:the |out )?(?:coupons?|bonds?|assets?|tools?|principal)\b|\bdead[- ]cat\b|\bkill(?:er|ed)? (?:quarter|app|on|the|it)\b|\bsick margins\b|\bugly numbers\b|\bdamn good\b|\bcrack spreads?\b|\bbloody\b.{0,20}\b(?:print|monday|session|quarter|leverage|day|\w+ desk)\b|\bpenetration of\b|\bhard guide\b|\bexplicit about\b"
-    r"|\b(?:bears|bulls|hawks|doves|shorts|longs) (?:were|got|are|beat|was)\b (?:slaughtered|butchered|killed|crushed|burned|squeezed|the|up)|\bbreeders? of\b|\bfeed\b|\bkitchen of\b|\b(?:maker|seller|supplier|distributor)s? (?:sells?|of)\b.{0,40}\b(?:screws?|cocks?|valves?|nuts|tools)\b|\bbutchering\b|\bbeat (?:the )?\w+ (?:estimates|forecasts|doves|consensus)\b|\bdogs? of the\b|\bbleeding\b|\bbleed(?:s|ing)? (?:cash|money|subscribers)\b|\bcocks for\b"
+    r"|\b(?:bears|bulls|hawks|doves|shorts|longs) (?:were|got|are|beat|was)\b (?:slaughtered|butchered|killed|crushed|burned|squeezed|the|up)|\bbreeders? of\b|\bfeed\b|\bkitchen of\b|\b(?:maker|seller|supplier|distributor)s? (?:sells?|of)\b.{0,40}\b(?:screws?|cocks?|valves?|nuts|tools)\b|\bbutchering\b|\bbeat the (?:doves|hawks|bears|bulls)\b|\bdogs? of the\b|\bbleeding\b|\bbleed(?:s|ing)? (?:cash|money|subscribers)\b|\bcocks for\b"
 )
 #: Remarks about oneself.
 SELF = rf"\b(?:i|i'm|im|i am|me|my|myself|mine|we)\b(?:\W+{_W}){{0,5}}?\W+{_X}\b|\b(?:my own|how {_A} (?:am|was) i|{_A} of me|{_A} me|call me an?)\b"

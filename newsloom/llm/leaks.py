@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.runtime import ship
+
 LENGTH = 12
 BLOCK = 20_000
 SHARD_WORDS = 400_000
@@ -179,6 +181,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_words of the longest match, doc_word and item_word where it starts."""
     spark, found = documents.sparkSession, None
+    ship(spark)
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(Tests(block))
         part = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null").mapInArrow(_find(shared), SCHEMA)

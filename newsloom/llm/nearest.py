@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.runtime import earliest, micros, small
+from newsloom.runtime import earliest, micros, ship, small
 
 #: Bits of a microsecond timestamp inside a block: 2^37 us are about 38 hours.
 BITS = 37
@@ -104,6 +104,7 @@ def pair_nearest(records: DataFrame, keys: DataFrame, tolerance_us: int) -> Data
     if not 0 <= tolerance_us < 1 << BITS:
         raise ValueError("tolerance_us out of range")
     block = F.shiftright("t", BITS)
+    ship(records.sparkSession)
     near = F.array_distinct(F.array(F.shiftright(F.col("t") - tolerance_us, BITS), F.shiftright("t", BITS), F.shiftright(F.col("t") + tolerance_us, BITS)))
     k = keys.where("entity is not null and t is not null").select("entity", F.explode(near).alias("block"), "t", F.lit(None).cast("string").alias("id"))
     r = records.where("entity is not null and t is not null and id is not null").select("entity", block.alias("block"), "t", "id")

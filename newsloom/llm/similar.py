@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.runtime import cut, earliest
+from newsloom.runtime import cut, earliest, ship
 
 TABLES, N = 7, 4
 SKETCH = 96
@@ -164,6 +164,7 @@ def _anchored(shared):
 
 def similar_classes(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members: dedupe_key, cid of the deliveries that count; links: cid_a < cid_b, similarity of different classes)."""
+    ship(articles.sparkSession)
     text = articles.select("dedupe_key", "ingested_at", F.col("headline").cast("string"), F.col("summary").cast("string"))
     kind = dict(text.dtypes)["ingested_at"]
     members = earliest(text.mapInArrow(_deliveries, f"dedupe_key string, ingested_at {kind}, cid bigint"), ["dedupe_key"], ["cid"]).where("cid is not null and dedupe_key is not null").select("dedupe_key", "cid")

@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from newsloom.runtime import ship
+
 #: Fixed values of the public pattern: English contractions, letters, digits, other signs, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id bigint, ids array<int>"
@@ -153,6 +155,7 @@ class Encoder:
 
 def encode_corpus(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id and ids of every document."""
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
