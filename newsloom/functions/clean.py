@@ -95,6 +95,11 @@ def utc(c: Column) -> Column:
     return F.timestamp_add("MINUTE", -minutes, bare.try_cast("timestamp_ntz"))
 
 
+def now() -> Column:
+    """The time of the query as UTC without zone; the same for all its rows."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+
+
 def from_epoch_seconds(c: Column) -> Column:
     s = c.try_cast("bigint")
     return F.timestamp_add("SECOND", F.when(F.abs(s) < 250_000_000_000, s), F.lit(EPOCH).cast("timestamp_ntz"))

@@ -61,6 +61,10 @@ class Store:
         rows = [(f.name, f.dataType.simpleString(), not f.nullable, KEYS[name].index(f.name) + 1 if f.name in KEYS[name] else 0) for f in TABLES[name]]
         return self.spark.createDataFrame(rows, "name string, type string, not_null boolean, key_position int")
 
+    def sample_json(self, name: str, n: int = 2) -> list[str]:
+        """A few rows of a table as JSON texts, to look at."""
+        return [r.value for r in self.read(name).limit(n).select(F.to_json(F.struct("*")).alias("value")).collect()]
+
     def read(self, name: str) -> DataFrame:
         parts = self._parts(name)
         since = max((n for n, kind in parts if kind == "snapshot"), default=0)
@@ -86,7 +90,7 @@ class Store:
     def upsert_article_sentiment(self, rows: DataFrame) -> int:
         """Insert or replace by (dedupe_key, model_id), the last of each key; scored_at becomes now. Returns the number
         of keys written. A key without an article raises."""
-        last = cut(last_rows(rows.withColumn("scored_at", F.current_timestamp().cast("timestamp_ntz"))), "scored")
+        last = cut(last_rows(rows.withColumn("scored_at", clean.now())), "scored")
         orphan = foreign_key_violations(last, self.read("articles"))
         if not orphan.isEmpty():
             raise ValueError("sentiment rows without an article: " + ", ".join(r[0] for r in orphan.limit(5).collect()))
@@ -145,7 +149,7 @@ def article_rows(news: DataFrame, source_api: str) -> DataFrame:
         "published_at": published,
         "source_name": get("source", "source_name"),
         "image_url": get("image", "image_url"),
-        "ingested_at": F.current_timestamp().cast("timestamp_ntz"),
+        "ingested_at": clean.now(),
     }
     extra = ["_seq"] if "_seq" in news.columns else []
     return news.select(*(known.get(f, get(f)).alias(f) for f in ARTICLES.fieldNames()), *extra)
@@ -164,7 +168,7 @@ def bar_rows(bars: DataFrame, source_api: str, bar_interval: str) -> DataFrame:
         "bar_ts": required(ts, "timestamp"),
         "trade_count": clean.whole_number(_optional(bars, "trade_count")),
         "stock_splits": clean.number(_optional(bars, "stock splits", "stock_splits")),
-        "ingested_at": F.current_timestamp().cast("timestamp_ntz"),
+        "ingested_at": clean.now(),
     }
     extra = ["_seq"] if "_seq" in bars.columns else []
     return bars.select(*(known.get(f, clean.number(_optional(bars, f))).alias(f) for f in BARS.fieldNames()), *extra)

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +81,9 @@ def test_reads(spark):
     assert S.bars_of_symbols(b, []).count() == 0 and S.bars_of_symbols(b, [" quven"]).count() == 1 and S.bars_frame(b, "X").count() == 0
 
 
-def test_columns(store):
+def test_columns(spark, store):
+    assert store.upsert_bars(bars(spark), "a", "1d") == 1 and '"symbol":"AAPL"' in store.sample_json("bars")[0]
+    ingested = store.read("bars").first().ingested_at
+    assert abs((ingested - datetime.now(timezone.utc).replace(tzinfo=None)).total_seconds()) < 300
     got = {r.name: r.key_position for r in store.columns("bars").collect()}
     assert got["bar_ts"] == 4 and got["close"] == 0
