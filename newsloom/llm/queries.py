@@ -66,6 +66,13 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_stories, p3_found, p3_rates, p6_found, p7_ids, p8_found, p8_items, p8_clean, p9_found, p9_scores, p9_rates)}
 
 ORACLES = {
+    # All pairs by shared words; affordable for SQL up to some ten thousand articles.
+    "p2_found": r"""
+WITH a AS (SELECT dedupe_key AS k, headline, summary, row_number() OVER (PARTITION BY dedupe_key ORDER BY ingested_at) AS nth FROM articles WHERE dedupe_key IS NOT NULL),
+w AS (SELECT DISTINCT k, unnest(regexp_extract_all(lower(concat_ws(' ', headline, summary)), '[\p{L}\p{N}]+')) AS w FROM a WHERE nth = 1),
+n AS (SELECT k, count(*) AS n FROM w GROUP BY k),
+c AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.k < y.k GROUP BY x.k, y.k)
+SELECT a AS dedupe_key_a, b AS dedupe_key_b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c * 10 >= (x.n + y.n - c) * 6""",
     "p6_found": """
 WITH a AS (SELECT dedupe_key, upper(trim(symbol)) AS s, published_at AS t, row_number() OVER (PARTITION BY dedupe_key ORDER BY ingested_at, symbol, published_at) AS nth FROM articles),
 b AS (SELECT DISTINCT upper(trim(symbol)) AS s, bar_ts AS t FROM bars WHERE bar_interval <> '1d')
