@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -42,12 +43,16 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    where = Path(tempfile.mkdtemp(prefix="newsloom-code-"), "newsloom_code.zip")  # served by the driver's own file server
-    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(where))
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/newsloom/code-{uuid.uuid4().hex}/newsloom_code.zip")
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(where.toString())
     _SHIPPED.add(app)
 
 
