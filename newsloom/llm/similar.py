@@ -1,28 +1,26 @@
-"""Near-duplicate texts: word sets, fingerprints, and anchors from a covering code.
+"""Near-duplicate texts: word sets, an exact prefix-filter join, and an exact check.
 
-Texts with the same set of words form a class; classes are compared, copies are not. The fingerprint of a class is a
-vector of weighted min-hashes (integer arithmetic, so all machines agree); a word weighs the logarithm of how rare it
-is, counted over all texts in a table of fixed size. Two fingerprints of a table agree in each of their N symbols with
-the probability of the weighted similarity.
+Texts with the same set of words form a class; classes are compared, copies are not. The words of a class are put in one
+order for all classes, rare ones first (counted over all texts in a table of fixed size; the hash settles ties). Of two
+classes with similarity t or more, the larger with n words has at least t n words in common with the smaller, and the
+smaller with m words at least 2t/(1+t) m. So their first common word stands among the first n - ceil(t n) + 1 words of
+the larger and the first m - ceil(2t/(1+t) m) + 1 of the smaller: every such pair meets at that word, without exception.
 
-The anchors are the code words of the parity code of length N over 64-bit symbols (all symbols add up to zero). It is a
-covering code of radius 1: changing any one symbol of a vector gives a code word. Every fingerprint is replicated to
-all N anchors within the radius. Two fingerprints that differ in at most the threshold of one symbol share the anchor
-that replaces the symbol in question, so all of them meet; for this code the radius itself suffices, and the larger
-ball of radius plus threshold would only add empty meetings. TABLES independent fingerprints make up for texts whose
-fingerprints differ in more. At an anchor, classes are compared by a further sketch of SKETCH bits and by size; what
-remains is checked exactly on the word sets.
+Where classes meet, they are compared by bitmaps: every word flips one of BITS bits, so two bitmaps never differ in more
+bits than their classes have words apart, and a pair that differs in more bits than the threshold allows in words is
+none. Neither step loses a pair, and what remains is checked on the word sets. The meetings of a word are compared in
+tiles of a fixed size; words of more than BLOCK texts are split over several tasks.
 
-A class collapses copies before any pair is formed, so an anchor is hot only if its classes are truly alike; the join
-on anchors is an equi-join whose skewed partitions adaptive execution splits.
+A class collapses copies before any pair is formed. The number of meetings grows with the square of the texts that share
+a word of their prefixes, so it is in proportion to the texts only where these words are rare.
 
 Defined results: null headline and summary count as empty; a text without words is similar to nothing; null keys pair
-with nothing; the earliest delivery stands for a key; pairs come once with a < b. Classes are told apart by 64-bit hashes.
+with nothing; the earliest delivery stands for a key; pairs come once with a < b. Classes are told apart by 64-bit hashes,
+the words of a class by 32 bits.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -34,10 +32,12 @@ from pyspark.sql import functions as F
 
 from newsloom.runtime import cut, earliest, ship
 
-TABLES, N = 7, 4
-SKETCH = 96
-#: Sketch bits that may differ: at the least weighted similarity seen for similar pairs (0.54) 22 do on average, sd 4.
-SKETCH_DIFFERS = 31
+#: Symbols of a vector of anchors().
+N = 4
+#: Bits of a bitmap, 64 to a word; the first DENSE words are compared for all meetings, the rest where those agree.
+BITS, DENSE = 192, 2
+#: Texts of a word up to which one task compares them all; rows and columns of a tile.
+BLOCK, TILE = 50_000, (64, 4096)
 BUCKETS = 1 << 18
 THRESHOLD = 0.6
 
@@ -60,9 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_SEEDS = _mix(np.arange(1, TABLES * N + SKETCH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-#: -ln of 16-bit uniforms, scaled: worked out in Python's integers and rounded, so it is the same everywhere.
-_LOG = np.array([round(-math.log((k + 0.5) / 65536) * (1 << 20)) for k in range(65536)], np.int64)
+_SEEDS = _mix(np.arange(1, N + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
 def _described(batch: pa.RecordBatch) -> tuple[list[int | None], list[np.ndarray]]:
@@ -86,78 +84,146 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, texts = np.zeros(BUCKETS, np.int64), 0
+    n = np.zeros(BUCKETS, np.int64)
     for b in batches:
         _, hashes = _described(b)
-        texts += len(hashes)
         if hashes:
             n += np.bincount(((np.concatenate(hashes) & _U(0xFFFFFFFF)) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     used = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(n[used], texts))], names=["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
 
-def inverse_weights(articles: DataFrame) -> np.ndarray:
-    """Per word bucket, 2^12 over the logarithm of its rarity, from counts over all texts. Its size is fixed."""
+def word_counts(articles: DataFrame) -> np.ndarray:
+    """Per word bucket the texts that have its words (a word counts in each). Its size is fixed."""
     counts = articles.select("headline", "summary").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()  # at most BUCKETS + 1 rows
+    rows = counts.toPandas()  # at most BUCKETS rows
     n = np.zeros(BUCKETS, np.int64)
-    real = rows[rows.bucket >= 0]
-    n[real.bucket.to_numpy()] = real.n.to_numpy()
-    total = max(1, int(rows[rows.bucket < 0].n.sum()))
-    weight = np.log(total / np.clip(n, 1, total)) + 0.05
-    return np.maximum(1, np.rint(4096 / weight)).astype(np.int64)
-
-
-def fingerprints(words: list[np.ndarray], inverse: np.ndarray) -> np.ndarray:
-    """Weighted min-hash symbols, one row per seed: of uint32 word hashes, none of them empty."""
-    flat = np.concatenate(words)
-    distinct, where = np.unique(flat, return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]])
-    inv = inverse[(distinct % BUCKETS).astype(np.int64)]
-    out = np.empty((len(_SEEDS), len(words)), np.int64)
-    wide = distinct.astype(_U)
-    for k, seed in enumerate(_SEEDS):
-        u = _mix((wide << _U(32) | wide) ^ seed)
-        v = (_LOG[(u >> _U(48)).astype(np.int64)] * inv << 16) | (u & _U(0xFFFF)).astype(np.int64)
-        out[k] = np.minimum.reduceat(v[where], starts)
-    return out
+    n[rows.bucket.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
+    return n
 
 
 def anchors(symbols: np.ndarray, table: int) -> np.ndarray:
-    """Hashes of the N code words within radius 1 of each vector (columns of an N-row matrix)."""
+    """Hashes of the N code words of the parity code within radius 1 of each vector (columns of an N-row matrix).
+    The pairs no longer depend on them."""
     s = _mix(symbols.view(_U))
     total = s.sum(axis=0)
     out = np.empty((N, s.shape[1]), _U)
     for drop in range(N):
-        h = np.full(s.shape[1], _SEEDS[table * N], _U)
+        h = np.full(s.shape[1], _SEEDS[0] + _U(table), _U)
         for j in range(N):
             h = _mix(h ^ (s[j] if j != drop else s[j] - total)) + _U(j)
         out[drop] = h
     return out
 
 
-def _anchored(shared):
+def _needed(n: np.ndarray, share: float) -> np.ndarray:
+    """The least whole number that is at least the share of n; never too high for rounding."""
+    return np.ceil(n * share - 1e-9).astype(np.int64)
+
+
+def bitmaps(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The bitmaps of word sets (uint32 hashes, one set after the other) in words of 64 bits."""
+    at = _mix(flat.astype(_U) + _U(1)) % _U(BITS)
+    bit = _U(1) << at % _U(64)
+    return [np.bitwise_xor.reduceat(np.where(at // _U(64) == _U(k), bit, _U(0)), starts) for k in range(BITS // 64)]
+
+
+PREFIX = f"key bigint, cid bigint, role int, size int, {', '.join(f's{k} bigint' for k in range(BITS // 64))}"
+PROBE, INDEX = 1, 2
+
+
+def _prefixes(shared, threshold: float):
+    """A row for each word of a class's prefix: as the larger of a pair (PROBE) and, for a shorter prefix, as the smaller (INDEX)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inverse = shared.value
+        counts = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 4000):
                 b = whole.slice(k, 4000)
                 cid = b.column(0).to_numpy()
                 words = [np.asarray(w, np.int32).view(np.uint32) for w in b.column(1).to_numpy(zero_copy_only=False)]
-                if not len(words):
+                n = np.array([len(w) for w in words], np.int64)
+                starts = np.cumsum(n) - n
+                flat, owner = np.concatenate(words), np.repeat(np.arange(len(n)), n)
+                maps = bitmaps(flat, starts)
+                texts = counts[(flat % np.uint32(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((flat, texts, owner))
+                flat, texts, place = flat[order], texts[order], np.arange(len(flat)) - starts[owner]
+                probe = place <= (n - _needed(n, threshold))[owner]
+                index = place <= (n - _needed(n, 2 * threshold / (1 + threshold)))[owner]
+                kept = np.flatnonzero((probe | index) & (texts > 1))  # a word of one text meets nothing
+                blocks, of = 1 + texts[kept] // BLOCK, owner[kept]
+                own = cid[of] % blocks
+                role = probe[kept] * PROBE + index[kept] * INDEX
+                # every block holds all of the index and its share of the probes
+                more = np.where(index[kept], blocks, 1)
+                row = np.repeat(np.arange(len(kept)), more)
+                block = np.where(index[kept][row], np.arange(len(row)) - (np.cumsum(more) - more)[row], own[row])
+                role = np.where(block == own[row], role[row], INDEX)
+                key = flat[kept][row].astype(np.int64) << 31 | block
+                of = of[row]
+                columns = [key, cid[of], role.astype(np.int32), n[of].astype(np.int32), *(m[of].view(np.int64) for m in maps)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PREFIX.split(", ")])
+
+    return run
+
+
+def _compared(group: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the classes that meet at a word which size and bitmaps leave possible."""
+    apart = (1 - threshold) / (1 + threshold)  # of the words of both classes, those that may be in one of them only
+    order = np.argsort(group[3], kind="stable")
+    _, cid, role, size, *maps = (c[order] for c in group)
+    size = size.astype(np.int64)
+    larger, smaller = np.flatnonzero(role & PROBE), np.flatnonzero(role & INDEX)
+    least, sizes, columns = _needed(size[larger], threshold), size[smaller], [m[smaller].view(_U) for m in maps]
+    rows = [m[larger].view(_U)[:, None] for m in maps]
+    found = []
+    for r in range(0, len(larger), TILE[0]):
+        r_end = min(r + TILE[0], len(larger))
+        most = size[larger[r_end - 1]]
+        first, end = np.searchsorted(sizes, least[r]), np.searchsorted(sizes, most, "right")
+        for c in range(first, end, TILE[1]):
+            c_end = min(c + TILE[1], end)
+            d = np.bitwise_count(rows[0][r:r_end] ^ columns[0][c:c_end])
+            for k in range(1, DENSE):
+                d += np.bitwise_count(rows[k][r:r_end] ^ columns[k][c:c_end])
+            bound = np.minimum(255, np.floor((most + sizes[c:c_end]) * apart + 1e-9)).astype(np.uint8)
+            hit = np.flatnonzero(d <= bound)
+            if len(hit):
+                i, j = np.divmod(hit, c_end - c)
+                found.append((i + r, j + c))
+    if not found:
+        return cid[:0], cid[:0]
+    i, j = (np.concatenate(x) for x in zip(*found))
+    d = sum(np.bitwise_count(a[i, 0] ^ b[j]).astype(np.int64) for a, b in zip(rows, columns))
+    i, j = larger[i], smaller[j]
+    near = (d <= (size[i] + size[j]) * apart + 1e-9) & (size[j] <= size[i]) & (size[j] >= _needed(size[i], threshold)) & (cid[i] != cid[j])
+    a, b = cid[i[near]], cid[j[near]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _meetings(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the parts so far of the last word; rows come in order of the word
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sum(len(p[0]) for p in held) > 1:
+                a, b = _compared([np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0], threshold)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cid_a", "cid_b"])
+            held.clear()
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            key = columns[0]
+            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for start, end in zip(bounds, bounds[1:]):
+                if start == end:
                     continue
-                prints = fingerprints(words, inverse)
-                bits = _mix(prints[TABLES * N :].view(_U)) & _U(1)
-                shift = (_U(1) << np.arange(64, dtype=_U))[:, None]
-                s1 = (bits[:64] * shift).sum(axis=0, dtype=_U)
-                size = np.array([len(w) for w in words], _U)
-                s2 = (bits[64:] * shift[: SKETCH - 64]).sum(axis=0, dtype=_U) | size << _U(32)
-                for t in range(TABLES):
-                    a = anchors(prints[t * N : (t + 1) * N], t)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.ravel().view(np.int64)), *(pa.array(np.tile(c.view(np.int64), N)) for c in (cid, s1, s2))],
-                        names=["anchor", "cid", "s1", "s2"],
-                    )
+                if held and held[0][0][0] != key[start]:
+                    yield from done()
+                held.append([c[start:end] for c in columns])
+        yield from done()
 
     return run
 
@@ -169,13 +235,9 @@ def similar_classes(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[
     kind = dict(text.dtypes)["ingested_at"]
     members = earliest(text.mapInArrow(_deliveries, f"dedupe_key string, ingested_at {kind}, cid bigint"), ["dedupe_key"], ["cid"]).where("cid is not null and dedupe_key is not null").select("dedupe_key", "cid")
     classes = text.select("headline", "summary").mapInArrow(_texts, "cid bigint, words array<int>").where("cid is not null").groupBy("cid").agg(F.first("words").alias("words"))
-    shared = articles.sparkSession.sparkContext.broadcast(inverse_weights(text))
-    laid = classes.mapInArrow(_anchored(shared), "anchor bigint, cid bigint, s1 bigint, s2 bigint")
-    a, b = laid.alias("a"), laid.alias("b")
-    size_a, size_b = F.shiftrightunsigned("a.s2", 32), F.shiftrightunsigned("b.s2", 32)
-    apart = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    near = (F.col("a.cid") < F.col("b.cid")) & (apart <= SKETCH_DIFFERS) & (F.least(size_a, size_b) >= F.greatest(size_a, size_b) * threshold)
-    met = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & near).select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
+    shared = articles.sparkSession.sparkContext.broadcast(word_counts(text))
+    laid = classes.mapInArrow(_prefixes(shared, threshold), PREFIX).repartition("key").sortWithinPartitions("key")
+    met = laid.mapInArrow(_meetings(threshold), "cid_a bigint, cid_b bigint").distinct()
     wa = classes.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa"))
     wb = classes.select(F.col("cid").alias("cid_b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))

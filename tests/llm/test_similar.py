@@ -110,3 +110,39 @@ def test_vectors_that_differ_in_one_symbol_share_an_anchor():
         z = [rng.getrandbits(40) for _ in range(similar.N)]
         a = [set(c) for c in similar.anchors(similar.np.array([x, y, z], similar.np.int64).T.copy(), 0).T.tolist()]
         assert a[0] & a[1] and not a[0] & a[2]
+
+
+def templated(seed, stories=60):
+    """Texts of few templates: similar ones share common words, and their rare words differ."""
+    rng = random.Random(seed)
+    forms = [[f"t{f}x{k}" for k in range(36)] for f in range(3)]
+    rows = []
+    for s in range(stories):
+        ws = [w for w in forms[s % 3] if rng.random() > 0.06] + [f"r{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 8, 11]))]
+        rng.shuffle(ws)
+        rows.append(article(f"k{s:03}", " ".join(ws[:9]), " ".join(ws[9:])))
+    return rows
+
+
+def test_no_pair_is_lost_where_rare_words_differ(make_articles):
+    rows = templated(3) + corpus(4, 20)
+    want = brute(rows)
+    assert len(want) > 300 and set(pairs(make_articles(rows))) == want
+
+
+def test_words_split_over_blocks_meet_all_the_same(make_articles, monkeypatch):
+    rows = templated(6, 30)
+    want = brute(rows)
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    monkeypatch.setattr(similar, "TILE", (3, 5))
+    counts = similar.np.full(similar.BUCKETS, 20)
+    words_of = {r["dedupe_key"]: similar.word_hashes(r["headline"], r["summary"]) for r in rows}
+    batch = similar.pa.RecordBatch.from_arrays(
+        [similar.pa.array(range(len(rows)), similar.pa.int64()), similar.pa.array([similar.np.sort(w.astype("uint32")).view("int32") for w in words_of.values()])], names=["cid", "words"]
+    )
+    shared = type("Shared", (), {"value": counts})
+    laid = similar.pa.Table.from_batches(similar._prefixes(shared, 0.6)([batch])).sort_by("key")
+    assert len({k & 3 for k in laid["key"].to_pylist()}) == 3
+    keys = list(words_of)
+    met = {(keys[a], keys[b]) for out in similar._meetings(0.6)(laid.to_batches(max_chunksize=11)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+    assert want <= met
