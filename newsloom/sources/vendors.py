@@ -91,6 +91,21 @@ def search_pages(fetch: Callable[[int, int], str], page_size: int = PAGE_LIMIT,
             return
 
 
+def token_pages(fetch: Callable[[str | None], str]) -> Iterator[str]:
+    """All pages of an answer that names the token of its next page; a token that comes again raises."""
+    token, seen = None, set()
+    while True:
+        text = fetch(token)
+        yield text
+        body = json.loads(text)
+        token = body.get("next_page_token") if isinstance(body, dict) else None
+        if not token:
+            return
+        if token in seen:
+            raise VendorError(f"page token {token!r} came twice")
+        seen.add(token)
+
+
 @dataclass(frozen=True)
 class Request:
     """What to ask a vendor for. `what` picks among its endpoints (news, bars, quote, headlines, profile)."""
@@ -122,7 +137,8 @@ def pages(request: Request, symbol: str) -> Iterator[str]:
     elif request.vendor == "alpaca":
         amount, unit = timeframe(o.get("interval", "1d"))
         header = {"APCA-API-KEY-ID": key or "", "APCA-API-SECRET-KEY": o.get("secret_key") or os.environ.get("APCA_API_SECRET_KEY", "")}
-        yield get(with_query(f"{base}/{symbol}/bars", timeframe=f"{amount}{ALPACA_UNITS[unit]}", start=request.start, end=request.end, feed=o.get("feed"), limit=10_000), header)
+        ask = lambda token: get(with_query(f"{base}/{symbol}/bars", timeframe=f"{amount}{ALPACA_UNITS[unit]}", start=request.start, end=request.end, feed=o.get("feed"), limit=10_000, page_token=token), header)
+        yield from token_pages(ask)
     elif request.vendor == "yfinance":
         yield get(with_query(f"{base}/{symbol}", interval=o.get("interval", "1d"), period1=o.get("period1"), period2=o.get("period2"), range=None if request.start else o.get("period", "1mo")))
     else:

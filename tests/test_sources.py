@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from urllib.parse import parse_qsl, urlsplit
 
 import pytest
 
@@ -97,3 +98,20 @@ def test_whole_run(spark, tmp_path, capsys):
     assert go("predict", "--model-path", str(tmp_path / "m"), "--session", "1999-01-04") == 1
     assert go("nonsense") == 1 and go("ingest") == 1
     assert cli.main(["--data-dir", str(tmp_path / "data"), "--symbols", "aapl,msft", "ingest", "--start", "2024-07-01", "--end", "2024-07-10", "--sources", "finnhub", "--landing", str(tmp_path / "land")], spark) == 2
+
+
+def test_alpaca_reads_all_pages(monkeypatch):
+    answers = {None: {"bars": [{"t": 1}], "next_page_token": "a=="}, "a==": {"bars": [{"t": 2}], "next_page_token": "b"}, "b": {"bars": [{"t": 3}], "next_page_token": None}}
+    asked = []
+
+    def get(url, headers=None, timeout_s=0):
+        asked.append(dict(parse_qsl(urlsplit(url).query)))
+        return json.dumps(answers[asked[-1].get("page_token")])
+
+    monkeypatch.setattr(vendors, "get", get)
+    request = vendors.Request("alpaca", "bars", "2024-06-03", "2024-07-03", {"interval": "1m"})
+    assert [json.loads(t)["bars"][0]["t"] for t in vendors.pages(request, "AAPL")] == [1, 2, 3]
+    assert [a.get("page_token") for a in asked] == [None, "a==", "b"] and {(a["start"], a["end"], a["timeframe"]) for a in asked} == {("2024-06-03", "2024-07-03", "1Min")}
+    answers["b"]["next_page_token"] = "a=="
+    with pytest.raises(vendors.VendorError):
+        list(vendors.pages(request, "AAPL"))
