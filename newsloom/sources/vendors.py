@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,8 @@ BASES = {
 KEY_VARIABLES = {"finnhub": ["FINNHUB_API_KEY"], "newsapi": ["NEWSAPI_API_KEY"], "alpaca": ["APCA_API_KEY_ID", "ALPACA_API_KEY"], "fmp": ["FMP_API_KEY"], "yfinance": []}
 #: Bar sizes as one vendor spells them.
 ALPACA_UNITS = {"minute": "Min", "hour": "Hour", "day": "Day", "week": "Week", "month": "Month"}
+#: Where a request that names only its end starts: 1900-01-01, in seconds since 1970.
+EARLIEST = -2_208_988_800
 
 
 class VendorError(RuntimeError):
@@ -55,6 +59,14 @@ def timeframe(interval: str) -> tuple[int, str]:
         raise ValueError(f"unknown interval {interval!r}; there are {', '.join(INTERVALS)}") from None
 
 
+def epoch_seconds(time_: str | None) -> int | None:
+    """UTC seconds since 1970 of an ISO date or time; one without a zone is UTC."""
+    if not time_:
+        return None
+    t = datetime.fromisoformat(time_.strip())
+    return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp())
+
+
 def with_query(url: str, **query: object) -> str:
     """The url with parameters added to those it has; empty ones are left out."""
     text = urllib.parse.urlencode({k: v for k, v in query.items() if v not in (None, "")})
@@ -140,7 +152,10 @@ def pages(request: Request, symbol: str) -> Iterator[str]:
         ask = lambda token: get(with_query(f"{base}/{symbol}/bars", timeframe=f"{amount}{ALPACA_UNITS[unit]}", start=request.start, end=request.end, feed=o.get("feed"), limit=10_000, page_token=token), header)
         yield from token_pages(ask)
     elif request.vendor == "yfinance":
-        yield get(with_query(f"{base}/{symbol}", interval=o.get("interval", "1d"), period1=o.get("period1"), period2=o.get("period2"), range=None if request.start else o.get("period", "1mo")))
+        first, last = o.get("period1", epoch_seconds(request.start)), o.get("period2", epoch_seconds(request.end))
+        if first is not None or last is not None:  # the endpoint takes both or none
+            first, last = EARLIEST if first is None else first, int(time.time()) if last is None else last
+        yield get(with_query(f"{base}/{symbol}", interval=o.get("interval", "1d"), period1=first, period2=last, range=o.get("period", "1mo") if first is None else None))
     else:
         yield checked_payload(get(with_query(f"{base}/{o.get('path', 'profile')}", symbol=symbol, apikey=key)))
 

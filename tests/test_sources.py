@@ -115,3 +115,20 @@ def test_alpaca_reads_all_pages(monkeypatch):
     answers["b"]["next_page_token"] = "a=="
     with pytest.raises(vendors.VendorError):
         list(vendors.pages(request, "AAPL"))
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "want"),
+    [
+        ("2024-06-03", "2024-06-15", {"period1": "1717372800", "period2": "1718409600"}),
+        ("2024-06-03T02:00:00+02:00", "2024-06-15T00:00:00Z", {"period1": "1717372800", "period2": "1718409600"}),
+        ("2024-06-03", None, {"period1": "1717372800", "period2": "1800000000"}),
+        (None, "2024-06-15", {"period1": "-2208988800", "period2": "1718409600"}),
+        (None, None, {"range": "1mo"}),
+    ],
+)
+def test_yfinance_asks_for_the_dates(monkeypatch, start, end, want):
+    asked = []
+    monkeypatch.setattr(vendors, "get", lambda url, *_: asked.append(dict(parse_qsl(urlsplit(url).query))) or "{}")
+    monkeypatch.setattr(vendors.time, "time", lambda: 1_800_000_000.5)
+    assert list(vendors.pages(vendors.Request("yfinance", "bars", start, end), "AAPL")) == ["{}"] and asked == [{"interval": "1d"} | want]
