@@ -82,3 +82,24 @@ def test_held_out_wording(sf_dir):
 def test_long_texts_take_linear_time():
     for t in ("a " * 100_000, "x.y." * 50_000, "you " * 50_000, "*" * 100_000, "idiot" * 20_000):
         abuse.votes(t)
+
+
+@pytest.mark.parametrize(
+    ("text", "voter"),
+    [
+        *((t, "dismissive") for t in ("Shut up!", "Drop dead.", "Get stuffed", "Cry more", "moan harder")),
+        *((t, "threat") for t in ("I know where u live", "I know where u sleep", "watch out, when i find u")),
+        *((t, "foreign_phrase") for t in ("halt dein Maul", "raus mit denen", "ti ammazzo", "voy a matarte", "hay que expulsarlos", "callate")),
+    ],
+)
+def test_patterns_vote_without_any_listed_word(text, voter):
+    bits, _ = abuse.votes(text)
+    assert bits >> abuse.NAMES.index(voter) & 1
+
+
+def test_every_voter_is_asked_about_every_segment():
+    for text in ABUSE + PLAIN + ["Shut up!", "Vane rose", "court heard nothing", "ti ammazzo", "dead cat bounce"]:
+        bits, _ = abuse.votes(text)
+        s, _ = abuse.plain(text)
+        fired = sum(1 << k for k, (_, p) in enumerate(abuse._VOTERS) if p.search(s))
+        assert bits & ((1 << len(abuse._VOTERS)) - 1) == (fired & ~abuse._SELF if fired & abuse._PATTERNS else fired)
