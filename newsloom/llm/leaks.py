@@ -33,26 +33,52 @@ BLOCK = 20_000
 SHARD_WORDS = 400_000
 SCHEMA = "doc_id bigint, item_id bigint, n_words int, doc_word int, item_word int"
 
-_TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:[\s/][^<>]{0,500})?>|<!--.{0,500}?-->", regex.S)
+_TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:[\s/][^<>]*+)?>")
+#: Characters from which the inside of a tag or comment in a document is searched too, on its own.
+ASIDE = 500
+#: Stands between words that don't follow each other; no word is empty.
+BREAK = ""
 _INLINE = {"a", "b", "i", "u", "s", "em", "strong", "span", "font", "mark", "small", "sub", "sup", "code", "wbr", "abbr", "cite", "q", "ins", "del"}
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Variation_Selector}͏ᅟᅠ឴឵ㅤﾠ]+")
 _BROKEN = regex.compile(r"([\p{L}\p{N}]+)[-‐‑]\s*[\r\n]\s*(?:>\s*)*([\p{L}\p{N}]+)")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+def unmarked(text: str) -> tuple[str, list[str]]:
+    """The text without tags and comments of any length, and the insides of the long ones; linear in the text."""
+    out, aside, at = [], [], 0
+
+    def tag(m: regex.Match) -> str:
+        if len(m[0]) > ASIDE:
+            aside.append(m[0][1:-1])
+        return "" if m[2].lower() in _INLINE else " "
+
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out.append(_TAG.sub(tag, text[at:start]))
+        if end - start > ASIDE:
+            aside.append(text[start + 4 : end])
+        at = end + 3
+    out.append(_TAG.sub(tag, text[at:]))
+    return " ".join(out), aside
+
+
 def words(text: str | None, vocabulary: dict[str, int] | None = None) -> list[str]:
-    """The words of a text as they are compared."""
+    """The words of a text as they are compared; of a document (with a vocabulary) those aside come last, after breaks."""
     if not text:
         return []
     if "&" in text:
         text = html.unescape(text)
+    aside: list[str] = []
     if "<" in text:
-        text = _TAG.sub(lambda m: "" if m[2] and m[2].lower() in _INLINE else " ", text)
+        text, aside = unmarked(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
     if "\n" in text or "\r" in text:
         text = _BROKEN.sub(lambda m: m[1] + ("" if vocabulary is None or (m[1] + m[2]).lower() in vocabulary else " ") + m[2], text)
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    for inside in aside if vocabulary is not None else ():
+        found += [BREAK, *words(inside, vocabulary)]
+    return found
 
 
 class Tests:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from newsloom.llm import leaks
 
@@ -79,3 +80,24 @@ def test_reports_and_empty(spark):
 
 def test_long_text(spark):
     assert set(found(spark, ["word " * 200_000 + ITEM, "a " * 300_000], [ITEM, "a " * 500])) == {(0, 100), (1, 101)}
+
+
+def test_markup_of_any_length(spark):
+    half = ITEM.index("will not")
+    long = "x" * 3000
+    texts = [
+        f'{ITEM[:half]}<img src="data:image/png;base64,{long}"/> {ITEM[half:]}',
+        f'{ITEM[:half]}<a href="https://v.example/?{long}">{ITEM[half:]}</a>',
+        f"{ITEM[:half]}<!-- {'note <b>on</b> style ' * 200} -->{ITEM[half:]}",
+        f"a stray <!-- here, then {ITEM} {'and more ' * 100} --> there",
+        f"{ITEM[:half]}<!-- never closed {ITEM[half:]}",
+    ]
+    got = found(spark, texts, [ITEM])
+    assert {d for d, _ in got} >= {0, 1, 2, 3} and len({got[k, 100] for k in range(4)}) == 1
+
+
+def test_much_open_markup_is_read_in_linear_time():
+    began = time.process_time()
+    for text in ("<!--" * 200_000, "<a " * 300_000, "<a " + "b" * 1_000_000, "<!-- --" * 100_000, "<b><!--->" * 50_000):
+        leaks.words(text, {})
+    assert time.process_time() - began < 20
