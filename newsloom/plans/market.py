@@ -151,9 +151,9 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits on the earlier rows and predicts the newest bar of each symbol; 10 trees instead of 200 to keep it short."""
+    """Fits on the earlier rows and predicts the newest bar of each symbol."""
     frame = cut(features.time_split(features.training_frame(*_all(spark, sf_dir), MODEL)), "training")
-    m = model.get_model("gbt_regressor", features.TARGET, rounds=10).fit(frame.where("is_train"))
+    m = model.get_model("gbt_regressor", features.TARGET).fit(frame.where("is_train"))
     return m.predict(features.latest_bar_inference(*_all(spark, sf_dir), MODEL), "predicted_return_oc").select("symbol", "bar_ts", "nyse_session", "predicted_return_oc")
 
 
