@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from newsloom.llm.truncation import cut_rates, cut_values, limits
+from newsloom.llm.truncation import cut_rates, cut_values, judged, limits
 
 S = "Shares of Vane rose 3.4% on Monday."
 WHOLE = [
@@ -27,20 +27,35 @@ def test_endings(make_articles):
     assert {names[k] for k in got} == set(CUT)
 
 
-def test_limits_settle_doubtful_numbers(make_articles):
-    long = ("word " * 60)[:193]
-    rows = [row(f"l{k}", (f"{k:04} " + long)[:198] + " b") for k in range(30)] + [row(f"o{k}", f"{k} " + "x" * (20 + 5 * k) + " and") for k in range(20)]
-    doubtful = "Vane sold shares " + "x" * 175 + " at $12."
-    assert len(doubtful) == 200
-    rows += [row("d", doubtful), row("e", "Vane sold shares at $12."), row("second", "whole.", content_snippet="whole too.")]
-    df = make_articles(rows)
-    got = {r.dedupe_key for r in cut_values(df).collect()}
-    assert "d" in got and "e" not in got and "second" not in got
+def limited():
+    """Fifty values cut at 200 characters, ten of them at the point of a number and ten inside a closing line, among others."""
+    fill = lambda t, end: t + "x" * (200 - len(t) - len(end)) + end
+    rows = [row(f"l{k}", fill(f"{k:04} word ", " b")) for k in range(30)] + [row(f"o{k}", f"{k} " + "x" * (20 + 5 * k) + " and") for k in range(20)]
+    rows += [row(f"n{k}", fill(f"Vane sold {k} shares ", f" at ${k + 1},512.")) for k in range(10)] + [row(f"s{k}", fill(f"Vane sold {k} ", " shares. Source: Vellum Str")) for k in range(10)]
+    return rows + [row("e", "Vane sold shares at $12."), row("f", f"{S} Source: Vellum Street"), row("w", fill("Vane ", " rose.")), row("second", "whole.", content_snippet="whole too.")]
+
+
+def test_limits_settle_doubtful_endings(make_articles):
+    df = make_articles(limited())
+    reason = {r.dedupe_key: r.reason for r in judged(df).where("field = 'summary'").collect()}
+    assert {k for k, r in reason.items() if r == "limit"} == {r["dedupe_key"] for r in limited() if r["dedupe_key"][0] in "lns" and r["dedupe_key"] != "second"}
+    assert {k for k, r in reason.items() if r == "transfer"} == {f"o{k}" for k in range(20)}
     rates = {r.field: r for r in cut_rates(df).collect()}
-    assert rates["summary"].n_values == len(rows) and rates["summary"].n_cut == 51 and rates["summary"].n_cut_at_limit == 31
+    assert (rates["summary"].n_values, rates["summary"].n_cut, rates["summary"].n_cut_at_limit, rates["summary"].n_cut_in_transfer) == (len(limited()), 70, 50, 20)
     assert rates["content_snippet"].cut_rate == 0
 
 
+def test_one_doubtful_ending_at_a_limit_is_whole(make_articles):
+    rows = [r for r in limited() if r["dedupe_key"][0] not in "ns" or r["dedupe_key"] in ("n1", "s1", "second")]
+    assert {r.dedupe_key for r in cut_values(make_articles(rows)).collect()}.isdisjoint({"n1", "s1", "w", "second"})
+
+
+def test_limit_before_a_mark(make_articles):
+    """The length without the mark put after the cut makes the spike, however long the mark."""
+    rows = [row(f"m{k}", ("word " * 40)[: 150 - len(str(k))] + f"{k}… [+{10 ** (k % 6)} chars]") for k in range(40)] + [row(f"o{k}", "x" * (20 + 7 * k) + ".") for k in range(40)]
+    assert {(r.unit, r.length) for r in limits(judged(make_articles(rows))).collect()} >= {("body_chars", 150), ("body_bytes", 150)}
+
+
 def test_deliveries_and_empty(make_articles):
     rows = [row("k", "Whole."), row("k", "Shares of Va", ingested_at=datetime(2024, 8, 1)), row(None, "Shares of Va", source_api=None)]
     assert [tuple(r) for r in cut_values(make_articles(rows)).collect()] == [(None, "summary")]
