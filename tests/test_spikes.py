@@ -100,4 +100,29 @@ def test_median_is_exact(spark):
         v = [rng.choice([0.0, rng.random() * 10 ** rng.randint(-6, 3)]) for _ in range(n)]
         df = spark.createDataFrame([("g", x) for x in v], "g string, v double")
         got = spikes.median_move(df, ["g"], "v").collect()[0].move
-        assert math.isclose(got, statistics.median(v), rel_tol=1e-8, abs_tol=0)
+        assert got == statistics.median(v)
+
+
+def test_median_of_values_that_agree_in_thirty_bits(spark):
+    v = [1.0 + k * 2.0**-52 for k in range(41)] + [1.0 + 7 * 2.0**-52] * 3
+    df = spark.createDataFrame([(g, x) for g in "gh" for x in v], "g string, v double")
+    assert {r.move for r in spikes.median_move(df, ["g"], "v").collect()} == {statistics.median(v)}
+
+
+def test_details_at_every_width(make_bars):
+    """A spike of each length stands out of its neighbourhood's prediction by more than eight scales."""
+    rng = random.Random(4)
+    v = walk(rng, 60)
+    for k, n in ((10, 1), (25, 2), (40, 3)):
+        for j in range(n):
+            v[k + j] *= 1.5
+    details = spikes.described(spikes.bars_in_blocks(make_bars(bars_of(v)))).where("candidate")
+    sizes = details.select("t", *(spikes._detail(k).alias(f"d{k}") for k in (1, 2, 3)), *(spikes._beyond(k).alias(f"b{k}") for k in (1, 2, 3))).collect()
+    for n in (1, 2, 3):
+        assert any((r[f"b{n}"] or 0) > 0.3 and r[f"d{n}"] >= r[f"b{n}"] for r in sizes)
+
+
+def test_one_hot_key(make_bars):
+    rows = bars_of([1.0, 2.0, 1.0, 2.0, 1.0]) + [dict(bars_of([float(k)])[0], ingested_at=datetime(2025, 3, 1)) for k in range(2000)]
+    assert found(make_bars(rows)) == set()
+
