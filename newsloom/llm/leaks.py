@@ -2,16 +2,22 @@
 
 Texts are brought to words: entities resolved, tags and invisible characters taken out, words broken at a line's end
 joined where the whole is a word of the tests, compatibility forms folded, lower case; words are runs of letters or
-digits. A shard is some thousand documents of one task. Its words are numbered by the tests' vocabulary; places from which
-no run of LENGTH test words starts cannot match and are left out. The suffixes from the other places are ranked by
-prefix doubling (1, 2, 4, 8 words) and sorted; a binary search of each test suffix gives its range in the array, hence
-all places with LENGTH equal words. Runs of such places on one diagonal give the longest verbatim match.
+digits. A shard is some thousand documents of one task (a longer document is cut into parts that overlap by the longest
+test). Its words are numbered by the tests' vocabulary; suffixes end at words no test has, and places from which no run of
+LENGTH test words starts cannot match and are left out.
 
-The tests are held in blocks of BLOCK items, each broadcast on its own (bounded by the block); the corpus is read once
-a block and nothing of it is shuffled or collected.
+The suffixes of tests and shard are ranked together by prefix doubling (1, 2, 4, ... words) until the width covers the
+longest test or all ranks differ. Sorted by document and rank they form the suffix array of every document of the shard.
+Documents that have some LENGTH words of a test suffix are found by their ranks at that width; in the array of each such document a
+binary search finds where the test suffix belongs, and the longer of the matches with the two neighbours there is the longest match
+with any suffix of the document. What is compared is one search a test suffix and document, however often either
+repeats the same words.
+
+The tests are held in blocks of at most BLOCK_WORDS words, each a broadcast of its own; a task searches its shards against
+one block after the other, so the corpus is read once and nothing of it is shuffled or collected.
 
 Defined results: null, empty or short texts and items leak nothing; repeated documents each come out; an item given
-twice under two ids leaks under both; the longest of several matches counts, of equal ones the first.
+twice under two ids leaks under both; the longest of several matches counts, of equal ones one that is the same on every run.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 from newsloom.runtime import ship
 
 LENGTH = 12
-BLOCK = 20_000
+BLOCK_WORDS = 2_000_000
 SHARD_WORDS = 400_000
+#: Searches at a time, for memory.
+CHUNK = 1 << 20
 SCHEMA = "doc_id bigint, item_id bigint, n_words int, doc_word int, item_word int"
 
 _TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:[\s/][^<>]*+)?>")
@@ -98,80 +106,150 @@ class Tests:
         self.line = np.array(line, np.int64)
         self.item = np.array(item, np.int64)
         self.place = np.array(place, np.int32)
-        self.starts = np.flatnonzero(full_runs(self.line))
-
-
-def full_runs(line: np.ndarray) -> np.ndarray:
-    """Whether LENGTH numbered words (not 0) start at each place."""
-    seen = np.concatenate([[0], np.cumsum(line != 0)])
-    ok = np.zeros(len(line), bool)
-    if len(line) >= LENGTH:
-        ok[: len(line) - LENGTH + 1] = seen[LENGTH:] - seen[:-LENGTH] == LENGTH
-    return ok
-
-
-def suffix_ranks(line: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes at `starts` by their first LENGTH words, by prefix doubling over the places they reach."""
-    reach = np.unique((starts[:, None] + np.arange(LENGTH)).ravel()) if len(starts) else starts
-    by_width = {1: line}
-    width = 1
-    while width * 2 <= LENGTH:
-        r = by_width[width]
-        at = reach[reach + 2 * width <= len(line)]
-        pair = r[at] * (int(r.max()) + 1) + r[at + width]
-        nxt = np.zeros(len(line), np.int64)
-        nxt[at] = np.unique(pair, return_inverse=True)[1] + 1
-        width *= 2
-        by_width[width] = nxt
-    r = by_width[width]
-    tail = by_width[LENGTH - width] if LENGTH - width in by_width else None
-    if tail is None:
-        return r[starts] * (int(r.max()) + 1) + r[starts + LENGTH - width]
-    return r[starts] * (int(tail.max()) + 1) + tail[starts + width]
-
-
-def search(tests: Tests, docs: list[tuple[int, list[int]]]) -> tuple[np.ndarray, ...]:
-    """doc_id, item_id, length and places of the longest match of each document and item of a shard."""
-    sizes = np.array([len(w) for _, w in docs], np.int64)
-    shard = np.fromiter((x for _, w in docs for x in (*w, *(0,) * 1)), np.int64, int(sizes.sum() + len(docs)))
+        self.starts = np.flatnonzero(run_lengths(self.line) >= LENGTH)
+        self.longest = int(run_lengths(self.line).max(initial=0))
+
+
+def run_lengths(line: np.ndarray) -> np.ndarray:
+    """How many numbered words (not 0) follow each other from each place on."""
+    breaks = np.flatnonzero(np.append(line, 0) == 0)
+    return breaks[np.searchsorted(breaks, np.arange(len(line)))] - np.arange(len(line))
+
+
+class Suffixes:
+    """Ranks of the suffixes of a line, each up to its first break, by their first 1, 2, 4, ... words; alike suffixes have
+    the same rank. Only the places in `at` are ranked, which must hold all places their suffixes reach."""
+
+    def __init__(self, line: np.ndarray, at: np.ndarray, runs: np.ndarray, width: int):
+        self.runs = runs
+        self.levels = [np.zeros(len(line) + 1, np.int64)]
+        self.levels[0][:-1] = line
+        while 1 << (len(self.levels) - 1) < width:
+            w, r = 1 << (len(self.levels) - 1), self.levels[-1]
+            further = runs[at] > w
+            pair = r[at] * (int(r.max()) + 1)
+            pair[further] += r[at[further] + w]
+            values, inverse = np.unique(pair, return_inverse=True)
+            nxt = np.zeros(len(line) + 1, np.int64)
+            nxt[at] = inverse + 1
+            self.levels.append(nxt)
+            if len(values) == len(at):  # all differ: the order is settled
+                break
+
+    def order(self) -> np.ndarray:
+        """The ranks by the widest prefix, which sort the suffixes."""
+        return self.levels[-1]
+
+    def prefix(self, places: np.ndarray, n: int) -> np.ndarray:
+        """Numbers that agree where the first n words do, for places with n words or more."""
+        out, done = np.zeros(len(places), np.int64), 0
+        for k in range(len(self.levels) - 1, -1, -1):
+            while n - done >= 1 << k:
+                r = self.levels[k][places + done]
+                out = np.unique(out * (int(r.max(initial=0)) + 1) + r, return_inverse=True)[1]
+                done += 1 << k
+        return out
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at p and q have in common from their start."""
+        n = np.zeros(len(p), np.int64)
+        most = np.minimum(self.runs[p], self.runs[q])
+        for k in [len(self.levels) - 1, *range(len(self.levels) - 1, -1, -1)]:
+            w, more = 1 << k, np.ones(len(p), bool)
+            while more.any():
+                more = most - n >= w
+                more[more] = self.levels[k][(p + n)[more]] == self.levels[k][(q + n)[more]]
+                n[more] += w
+        return n
+
+
+def search(tests: Tests, docs: list[tuple[int, int, list[int]]]) -> tuple[np.ndarray, ...]:
+    """docs: (doc_id, words before this part, numbered words). Index in docs, item_id, length, place in the document and in
+    the item of the longest match of each part and item of a shard."""
+    sizes = np.array([len(w) for *_, w in docs], np.int64)
+    shard = np.fromiter((x for *_, w in docs for x in (*w, 0)), np.int64, int(sizes.sum() + len(docs)))
     first = np.concatenate([[0], np.cumsum(sizes + 1)])
-    starts = np.flatnonzero(full_runs(shard))
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    offset = len(tests.line)
+    joint = np.concatenate([tests.line, shard])
+    runs = run_lengths(joint)
+    starts = np.flatnonzero(runs[offset:] >= LENGTH) + offset
     if not len(starts) or not len(tests.starts):
         return none
-    joint = np.concatenate([tests.line, shard, np.zeros(LENGTH, np.int64)])
-    rank = suffix_ranks(joint, np.concatenate([tests.starts, starts + len(tests.line)]))
-    test_rank, shard_rank = rank[: len(tests.starts)], rank[len(tests.starts) :]
-    order = np.argsort(shard_rank, kind="stable")
-    array = shard_rank[order]  # the suffix array: places in the order of their suffixes
-    left, right = np.searchsorted(array, test_rank, "left"), np.searchsorted(array, test_rank, "right")
-    hits = right - left
-    if not hits.sum():
+    # all places from a start to the end of its run
+    reach = np.zeros(len(joint) + 1, np.int64)
+    for s in (tests.starts, starts):
+        np.add.at(reach, s, 1)
+        np.add.at(reach, s + runs[s], -1)
+    suffixes = Suffixes(joint, np.flatnonzero(np.cumsum(reach[:-1]) > 0), runs, max(tests.longest, LENGTH))
+    key = suffixes.prefix(np.concatenate([tests.starts, starts]), LENGTH)
+    wanted, key = key[: len(tests.starts)], key[len(tests.starts) :]
+    shared = np.isin(key, wanted)
+    starts, key = starts[shared], key[shared]
+    if not len(starts):
         return none
-    q = np.repeat(tests.starts, hits)
-    p = starts[order[np.repeat(left - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())]]
-    doc = np.searchsorted(first, p, "right") - 1
-    s = np.lexsort((p, p - q, tests.item[q], doc))
-    p, q, doc = p[s], q[s], doc[s]
-    item = tests.item[q]
-    new = np.ones(len(p), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1)
-    at = np.flatnonzero(new)
-    run = np.diff(np.append(at, len(p))) + LENGTH - 1
-    doc, item, p, q = doc[at], item[at], p[at], q[at]
-    s = np.lexsort((p, -run, item, doc))
+    doc = np.searchsorted(first, starts - offset, "right") - 1
+    # documents by key, each once
+    pairs = np.unique(key * len(docs) + doc)
+    left, right = np.searchsorted(pairs, wanted * len(docs)), np.searchsorted(pairs, (wanted + 1) * len(docs))
+    hits = right - left
+    # the suffix array of every document, one behind the other
+    rank = suffixes.order()
+    most = int(rank.max()) + 1
+    array = np.lexsort((starts, rank[starts], doc))
+    places, line = starts[array], doc[array] * most + rank[starts[array]]
+    found: list[tuple[np.ndarray, ...]] = []
+    ends = np.cumsum(hits)
+    at = 0
+    while at < len(hits):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        n = hits[at:upto]
+        q = np.repeat(tests.starts[at:upto], n)
+        d = pairs[np.repeat(left[at:upto] - np.cumsum(n) + n, n) + np.arange(n.sum())] % len(docs)
+        at = upto
+        if not len(q):
+            continue
+        where = np.searchsorted(line, d * most + rank[q])
+        best, place = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for near in (where, where - 1):
+            ok = (near >= 0) & (near < len(line))
+            ok[ok] = line[near[ok]] // most == d[ok]
+            n = suffixes.common(places[near[ok]], q[ok])
+            better = n > best[ok]
+            to = np.flatnonzero(ok)[better]
+            best[to], place[to] = n[better], places[near[to]]
+        found.append((d, tests.item[q], best, place, q))
+    doc, item, run, p, q = (np.concatenate(c) for c in zip(*found))
+    s = np.lexsort((q, p, -run, item, doc))
     doc, item, p, q, run = doc[s], item[s], p[s], q[s], run[s]
     keep = np.ones(len(doc), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    return doc[keep], item[keep], run[keep], (p - first[doc])[keep], tests.place[q][keep]
+    before = np.array([b for _, b, _ in docs], np.int64)
+    return doc[keep], item[keep], run[keep], (p - offset - first[doc] + before[doc])[keep], tests.place[q][keep]
 
 
-def _find(shared):
+def _find(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests: Tests = shared.value
-        get = tests.vocabulary.get
-
-        def out(docs: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        def out(texts: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+            for block in blocks:
+                tests: Tests = block.value
+                get, step = tests.vocabulary.get, SHARD_WORDS
+                docs, size = [], 0
+                for k, text in texts:
+                    line = [get(w, 0) for w in words(text, tests.vocabulary)]
+                    for at in range(0, max(1, len(line)), step):  # parts of a long document overlap by the longest test
+                        part = line[at : at + step + tests.longest]
+                        docs.append((k, at, part))
+                        size += len(part)
+                        if size >= step:
+                            yield rows(tests, docs)
+                            docs, size = [], 0
+                if docs:
+                    yield rows(tests, docs)
+                if len(blocks) > 1:
+                    block.__dict__.pop("_value", None)  # only one block is held at a time
+
+        def rows(tests: Tests, docs: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
             doc, item, n, p, q = search(tests, docs)
             ids = [docs[k][0] for k in doc]
             return pa.RecordBatch.from_arrays(
@@ -179,40 +257,42 @@ def _find(shared):
                 names=["doc_id", "item_id", "n_words", "doc_word", "item_word"],
             )
 
-        docs, size = [], 0
+        texts, size = [], 0
         for b in batches:
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                line = [get(w, 0) for w in words(text, tests.vocabulary)]
-                docs.append((k, line))
-                size += len(line)
-                if size >= SHARD_WORDS:
-                    yield out(docs)
-                    docs, size = [], 0
-        yield out(docs)
+                texts.append((k, text))
+                size += len(text)
+                if size >= 6 * SHARD_WORDS:
+                    yield from out(texts)
+                    texts, size = [], 0
+        yield from out(texts)
 
     return run
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    block = []
+    block, size = [], 0
     for row in items.select("item_id", "item_text").where("item_id is not null").orderBy("item_id").toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == BLOCK:
+        size += len(row[1] or "") // 4 + LENGTH
+        if size >= BLOCK_WORDS:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_words of the longest match, doc_word and item_word where it starts."""
-    spark, found = documents.sparkSession, None
+    spark = documents.sparkSession
     ship(spark)
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(Tests(block))
-        part = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null").mapInArrow(_find(shared), SCHEMA)
-        found = part if found is None else found.unionAll(part)
-    return spark.createDataFrame([], SCHEMA) if found is None else found
+    blocks = [spark.sparkContext.broadcast(Tests(b)) for b in _blocks(items)]
+    if not blocks:
+        return spark.createDataFrame([], SCHEMA)
+    found = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").mapInArrow(_find(blocks), SCHEMA)
+    # the parts of a long document may find an item twice
+    longest = F.max(F.struct("n_words", (-F.col("doc_word")).alias("p"), (-F.col("item_word")).alias("q"))).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "m.n_words", (-F.col("m.p")).alias("doc_word"), (-F.col("m.q")).alias("item_word"))
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

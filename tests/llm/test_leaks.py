@@ -66,7 +66,7 @@ def test_against_brute_force(spark):
 
 def test_shards_and_blocks(spark, monkeypatch):
     texts = [f"{k} {ITEM}" if k % 3 == 0 else "plain words of no test" for k in range(30)]
-    monkeypatch.setattr(leaks, "BLOCK", 1)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 1)
     got = found(spark, texts, [ITEM, "short", None, ITEM])
     assert set(got) == {(k, i) for k in range(0, 30, 3) for i in (100, 103)}
 
@@ -101,3 +101,54 @@ def test_much_open_markup_is_read_in_linear_time():
     for text in ("<!--" * 200_000, "<a " * 300_000, "<a " + "b" * 1_000_000, "<!-- --" * 100_000, "<b><!--->" * 50_000):
         leaks.words(text, {})
     assert time.process_time() - began < 20
+
+
+def test_suffix_ranks_sort_the_suffixes():
+    rng = random.Random(2)
+    for _ in range(60):
+        line = leaks.np.array([rng.choice([0, 1, 1, 2, 3]) if rng.random() < 0.9 else 0 for _ in range(rng.randint(1, 60))])
+        runs = leaks.run_lengths(line)
+        at = leaks.np.flatnonzero(line)
+        s = leaks.Suffixes(line, at, runs, 64)
+        text = {int(p): tuple(line[p : p + runs[p]].tolist()) for p in at}
+        assert sorted(at.tolist(), key=lambda p: (s.order()[p], p)) == sorted(at.tolist(), key=lambda p: (text[p], p))
+        for _ in range(20 if len(at) else 0):
+            p, q = rng.choice(at.tolist()), rng.choice(at.tolist())
+            n = next((k for k, (a, b) in enumerate(zip(text[p], text[q])) if a != b), min(len(text[p]), len(text[q])))
+            assert s.common(leaks.np.array([p]), leaks.np.array([q])).tolist() == [n]
+
+
+def test_long_matches_of_repetitive_texts_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(40):
+        tests = [" ".join(rng.choice("ab") for _ in range(rng.choice([12, 20, 70]))) for _ in range(3)] + ["a " * 40]
+        texts = [" ".join(rng.choice("abz" if rng.random() < 0.1 else "ab") for _ in range(rng.choice([0, 13, 120]))) for _ in range(4)] + ["a " * 55]
+        t = leaks.Tests([(100 + k, x) for k, x in enumerate(tests)])
+        docs = [(k, 0, [t.vocabulary.get(w, 0) for w in leaks.words(x, t.vocabulary)]) for k, x in enumerate(texts)]
+        doc, item, n, p, q = leaks.search(t, docs)
+        assert {(d, i): m for d, i, m in zip(doc.tolist(), item.tolist(), n.tolist())} == brute(texts, tests)
+        for d, i, m, a, b in zip(doc, item, n, p, q):
+            assert leaks.words(texts[d])[a : a + m] == leaks.words(tests[i - 100])[b : b + m]
+
+
+def test_boilerplate_takes_no_product_of_places():
+    """Half a million equal words against items of many equal words."""
+    began = time.process_time()
+    t = leaks.Tests([(k, "word " * 2000) for k in range(20)])
+    doc, item, n, *_ = leaks.search(t, [(k, 0, [1] * 100_000) for k in range(5)])
+    assert len(doc) == 100 and set(n.tolist()) == {2000} and time.process_time() - began < 60
+
+
+def test_parts_of_a_long_document(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 50)
+    n = len(leaks.words(ITEM))
+    texts = [("x " * k) + ITEM + (" y" * (200 - k)) for k in range(20, 90, 3)] + [ITEM]
+    t = leaks.Tests([(100, ITEM)])
+    run = leaks._find([type("B", (), {"value": t})()])
+    import pyarrow as pa
+
+    out = [r for b in run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])])) for r in b.to_pylist()]
+    best = {}
+    for r in out:
+        best[r["doc_id"]] = max(best.get(r["doc_id"], (0, 0)), (r["n_words"], r["doc_word"]))
+    assert best == {k: (n, 20 + 3 * k) for k in range(len(texts) - 1)} | {len(texts) - 1: (n, 0)}
