@@ -7,9 +7,10 @@ own timestamp that occurs by binary search over the length; below that node one
 greatest key is the successor or the predecessor, and the list gives the other. Keys within the tolerance of a
 block's border come in both blocks, so each record is looked up in its own block only.
 
-A group's rows arrive sorted, keys first; the trie is built only when a lookup follows, and lookups are streamed, so
-memory is bounded by the distinct keys of one entity in one block. A group with over HOT lookups is split into parts that
-each get its keys.
+A group's rows arrive sorted, keys first; the trie is built only when a lookup follows, and lookups are streamed. Up to
+NODES keys each key is a leaf of the trie; of more, evenly chosen ones are, and a binary search between two leaves does the
+rest (a y-fast trie), so memory is bounded by NODES leaves and the plain list of one entity's keys in one block, at
+most some hours of them. A group with over HOT lookups is split into parts that each get its keys.
 
 Defined results: records without entity (null, blank) or time (null, the epoch) pair with nothing; of two equally near
 keys the earlier counts; repeated keys count once; a key equal in time counts as nearest; nothing within the tolerance
@@ -18,26 +19,33 @@ gives no row; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.runtime import earliest, micros, ship, small
+from newsloom.runtime import cut, earliest, micros, ship, small
 
-#: Bits of a microsecond timestamp inside a block: 2^37 us are about 38 hours.
-BITS = 37
+#: Bits of a microsecond timestamp inside a block: 2^33 us are about 2.4 hours. The tolerance must be below it.
+BITS = 33
+#: Leaves of a trie.
+NODES = 8192
 #: Lookups of a group from which on it is split into parts.
 HOT = 200_000
 SCHEMA = "id string, at bigint"
 
 
 class XFastTrie:
-    """Over ascending distinct keys that share all bits above the lowest `bits`."""
-
-    def __init__(self, keys: list[int], bits: int = BITS):
-        self.bits = bits
+    """Over ascending distinct keys that share all bits above the lowest `bits`. Of more than `most` keys every so-manieth
+    is a leaf, the first among them."""
+
+    def __init__(self, keys: list[int], bits: int = BITS, most: int = NODES):
+        self.bits, self.keys, self.step = bits, keys, max(1, -(-len(keys) // most))
+        if self.step > 1:
+            keys = keys[:: self.step]
+            self.place = {k: i * self.step for i, k in enumerate(keys)}
         self.before = dict(zip(keys[1:], keys))
         self.after = dict(zip(keys, keys[1:]))
         self.levels: list[dict[int, list[int]]] = [{} for _ in range(bits + 1)]
@@ -51,6 +59,14 @@ class XFastTrie:
 
     def around(self, t: int) -> tuple[int | None, int | None]:
         """The greatest key <= t and the least key >= t."""
+        low, high = self._leaves(t)
+        if self.step == 1 or low is None:
+            return low, high
+        at = bisect_right(self.keys, t, self.place[low], min(len(self.keys), self.place[low] + self.step))
+        low = self.keys[at - 1]
+        return low, low if low == t else self.keys[at] if at < len(self.keys) else None
+
+    def _leaves(self, t: int) -> tuple[int | None, int | None]:
         lo, hi = 0, self.bits  # dropped bits; at hi the prefix always occurs
         while lo < hi:
             mid = (lo + hi) // 2
@@ -100,14 +116,15 @@ def _look_up(tolerance: int):
 
 def pair_nearest(records: DataFrame, keys: DataFrame, tolerance_us: int) -> DataFrame:
     """records(id string, entity, t bigint) and keys(entity, t bigint) -> id, at: the nearest key's time of each record
-    that has one within the tolerance. tolerance_us must be below 2^37."""
+    that has one within the tolerance. tolerance_us must be below 2^BITS."""
     if not 0 <= tolerance_us < 1 << BITS:
         raise ValueError("tolerance_us out of range")
     block = F.shiftright("t", BITS)
     ship(records.sparkSession)
     near = F.array_distinct(F.array(F.shiftright(F.col("t") - tolerance_us, BITS), F.shiftright("t", BITS), F.shiftright(F.col("t") + tolerance_us, BITS)))
     k = keys.where("entity is not null and t is not null").select("entity", F.explode(near).alias("block"), "t", F.lit(None).cast("string").alias("id"))
-    r = records.where("entity is not null and t is not null and id is not null").select("entity", block.alias("block"), "t", "id")
+    # written once, as the counts below and the pairing both read them
+    r = cut(records.where("entity is not null and t is not null and id is not null").select("entity", block.alias("block"), "t", "id"), "lookups")
     # a group with very many lookups is split; its keys go to every part
     hot = r.groupBy("entity", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("entity", "block", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
     hot = small(hot)

@@ -1,4 +1,5 @@
 import random
+import time
 from bisect import bisect_left
 from datetime import datetime, timedelta
 
@@ -13,13 +14,26 @@ def test_trie_against_bisection():
     rng = random.Random(1)
     for n in (1, 2, 3, 50, 400):
         keys = sorted({rng.randrange(1 << 12) for _ in range(n)})
-        trie = nearest.XFastTrie(keys, 12)
+        tries = [nearest.XFastTrie(keys, 12, most) for most in (1, 7, 8192)]  # also with a leaf for only some of the keys
         for t in range(0, 1 << 12, 7):
             k = bisect_left(keys, t)
-            if k < len(keys) and keys[k] == t:
-                assert trie.around(t) == (t, t)
-            else:
-                assert trie.around(t) == (keys[k - 1] if k else None, keys[k] if k < len(keys) else None)
+            want = (t, t) if k < len(keys) and keys[k] == t else (keys[k - 1] if k else None, keys[k] if k < len(keys) else None)
+            assert {trie.around(t) for trie in tries} == {want}
+
+
+def test_a_million_keys_in_one_block():
+    """Memory stays at some thousand leaves, whatever the number of keys."""
+    rng = random.Random(5)
+    keys = sorted({rng.randrange(1 << 33) for _ in range(1_000_000)})
+    began = time.process_time()
+    trie = nearest.XFastTrie(keys, 35)
+    assert sum(len(level) for level in trie.levels) < 36 * nearest.NODES
+    for _ in range(20_000):
+        t = rng.randrange(1 << 33)
+        k = bisect_left(keys, t)
+        if 0 < k < len(keys) and keys[k] != t:
+            assert trie.around(t) == (keys[k - 1], keys[k])
+    assert time.process_time() - began < 30
 
 
 def brute(articles, bars, tolerance=900):
@@ -43,11 +57,11 @@ def run(a, b):
     return dict(got)
 
 
-@pytest.mark.parametrize("bits", [27, 32, 37])
+@pytest.mark.parametrize("bits", [27, 33, 37])
 def test_against_brute_force(make_articles, make_bars, monkeypatch, bits):
     """Blocks of 2^30 us and more; the smallest is raised to hold the tolerance."""
     monkeypatch.setattr(nearest, "BITS", max(bits, 30))
-    monkeypatch.setattr(nearest, "HOT", 5 if bits == 32 else 200_000)
+    monkeypatch.setattr(nearest, "HOT", 5 if bits == 33 else 200_000)
     rng = random.Random(bits)
     at = lambda: T0 + timedelta(microseconds=rng.randrange(0, 3 * 86_400_000_000))
     articles = [{"dedupe_key": f"k{n}", "symbol": rng.choice(["S", " s ", "T", "", None, "U"]), "published_at": rng.choice([at(), at(), at(), None, datetime(1970, 1, 1)]), "ingested_at": T0} for n in range(400)]
