@@ -31,16 +31,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p4_found, p5_found)}
 
 ORACLES = {
+    # Plain sums of the rows of each period, not differences of prefix sums.
     "p4_found": """
 WITH one AS (SELECT source_api, symbol, CAST(bar_ts AS DATE) AS d, close, volume, row_number() OVER (PARTITION BY source_api, symbol, bar_interval, bar_ts ORDER BY ingested_at, close, volume) AS nth FROM bars WHERE bar_interval = '1d' AND source_api IS NOT NULL AND symbol IS NOT NULL AND bar_ts IS NOT NULL),
-daily AS (SELECT source_api, symbol, d, sum(CAST(volume AS DECIMAL(26,6))) AS v, sum(CAST(close AS DECIMAL(26,6))) AS c, count(close) AS n FROM one WHERE nth = 1 GROUP BY ALL),
-spanned AS (SELECT source_api, symbol, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d, min(d) AS first_d FROM daily GROUP BY source_api, symbol),
-roll AS (SELECT s.source_api, s.symbol, s.d, date_diff('day', s.first_d, s.d) AS nth,
- coalesce(sum(v) OVER w7, 0) AS v7, coalesce(sum(v) OVER w30, 0) AS v30, coalesce(sum(c) OVER w7, 0) AS c7, coalesce(sum(n) OVER w7, 0) AS n7, coalesce(sum(c) OVER w30, 0) AS c30, coalesce(sum(n) OVER w30, 0) AS n30
- FROM spanned s LEFT JOIN daily USING (source_api, symbol, d)
- WINDOW w7 AS (PARTITION BY s.source_api, s.symbol ORDER BY s.d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY s.source_api, s.symbol ORDER BY s.d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT source_api, symbol, strftime(d, '%Y-%m-%d') AS bar_day, 'volume' AS measure FROM roll WHERE nth >= 29 AND v7 * 2 > v30
-UNION ALL SELECT source_api, symbol, strftime(d, '%Y-%m-%d'), 'close' FROM roll WHERE nth >= 29 AND n7 > 0 AND abs(c7 * n30 - c30 * n7) * 10 > abs(c30 * n7)
+b AS (SELECT * FROM one WHERE nth = 1),
+days AS (SELECT source_api, symbol, unnest(generate_series(min(d) + 29, max(d), INTERVAL 1 DAY))::DATE AS day FROM b GROUP BY source_api, symbol),
+roll AS (SELECT source_api, symbol, day, fsum(volume) FILTER (d > day - 7) AS v7, fsum(volume) AS v30, avg(close) FILTER (d > day - 7) AS c7, avg(close) AS c30
+ FROM days JOIN b USING (source_api, symbol) WHERE d BETWEEN day - 29 AND day GROUP BY source_api, symbol, day)
+SELECT source_api, symbol, strftime(day, '%Y-%m-%d') AS bar_day, 'volume' AS measure FROM roll WHERE v7 > v30 / 2
+UNION ALL SELECT source_api, symbol, strftime(day, '%Y-%m-%d'), 'close' FROM roll WHERE abs(c7 - c30) > 0.1 * abs(c30)
 """,
     "p5_found": """
 WITH one AS (SELECT source_api, symbol, bar_interval, epoch_us(bar_ts) AS t, close, volume, row_number() OVER (PARTITION BY source_api, symbol, bar_interval, bar_ts ORDER BY ingested_at, close, volume) AS nth FROM bars WHERE source_api IS NOT NULL AND symbol IS NOT NULL AND bar_interval IS NOT NULL AND bar_ts IS NOT NULL),

@@ -63,5 +63,20 @@ def test_sums_of_gaps_ties_and_odd_values(make_bars):
     assert float(got[8].volume_sum_7) == 5 and float(got[10].volume_sum_30) == 7
 
 
+def test_values_count_as_they_stand(make_bars):
+    """Very large and very small values, beside each other and alone."""
+    rng = random.Random(9)
+    tiny = [bar(day, rng.choice([1e-9, 3e-9, 2e-7]), rng.choice([1e-9, 5e-8]), symbol="tiny") for day in range(60)]
+    finer = [bar(day, rng.choice([1e-15, 3e-15]), rng.choice([1.0, 1e-14]), symbol="finer") for day in range(60)]
+    huge = [bar(day, rng.choice([1e25, 3e25]), rng.choice([1e22, 7e24]), symbol="huge") for day in range(60)]
+    after = [bar(day, 1e25 if day < 5 else rng.choice([1.0, 1.5]), 1e30 if day == 3 else rng.choice([1.0, 40.0]), symbol="after") for day in range(90)]
+    rows = tiny + finer + huge + after
+    got, want = cases(make_bars(rows)), brute(rows)
+    assert got == want and {s for _, s, _, _ in want} == {"tiny", "finer", "huge", "after"}
+    last = {r.symbol: r for r in daily_bar_trailing(make_bars(rows)).where("nth_day = 60").collect()}
+    assert last["huge"].close_units_7 is None and last["tiny"].close_units_7 is not None
+    assert abs(last["finer"].close_sum_7 - sum(r["close"] for r in finer[53:60])) < 1e-20
+
+
 def test_empty(make_bars):
     assert cases(make_bars([])) == set()
