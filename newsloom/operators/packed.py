@@ -10,7 +10,9 @@
     Bare      <- (!Separator .)+                     then cut at blanks if every piece is a ticker
 
 An opening quote without a matching close makes Quoted fail; the parser goes back to the place of the quote and
-takes the Bare alternative there, with the error flag `unclosed_quote`. A quote left at the end of a bare value is
+takes the Bare alternative there, with the error flag `unclosed_quote`. What follows a place inside a quote depends only on
+the place and the kind of quote, so places from which a close was sought in vain are remembered (packrat) and every field
+takes time linear in its length. A quote left at the end of a bare value is
 `stray_quote`, a bracket without partner is `stray_bracket`.
 
 Defined results: a null, empty or blank field has no values; a null key keeps its values under the null key; empty
@@ -47,10 +49,16 @@ def _ends(s: str, i: int) -> bool:
     return i == len(s) or s[i] == "]" or s[i] in SEPARATORS or s[i] == "/" or (s[i] in "-–—" and i > 0 and s[i - 1].isspace() and s[i + 1 : i + 2].isspace())
 
 
-def _quoted(s: str, i: int) -> tuple[str, int] | None:
-    """Quoted at i: the value and the place behind its close, or None if this alternative fails."""
+def _quoted(s: str, i: int, failed: dict[str, set[int]]) -> tuple[str, int] | None:
+    """Quoted at i: the value and the place behind its close, or None if this alternative fails. failed: by opening quote
+    the places inside one from which no close is found; the first place is special and never among them."""
     close, out, j, n = QUOTES[s[i]], [], i + 1, len(s)
+    vain, passed = failed.setdefault(s[i], set()), []
     while j < n:
+        if j > i + 1:
+            if j in vain:
+                break
+            passed.append(j)
         c = s[j]
         if c == "\\" and j + 1 < n and s[j + 1] in (close, s[i], "\\"):
             out.append(s[j + 1])
@@ -69,6 +77,7 @@ def _quoted(s: str, i: int) -> tuple[str, int] | None:
         else:
             out.append(c)
             j += 1
+    vain.update(passed)
     return None
 
 
@@ -100,7 +109,7 @@ def parse(field: str | None) -> list[tuple[str, str | None]]:
     if s[0] == "[" and s[-1] == "]" and "[" not in s[1:-1]:
         s = s[1:-1]
     i, n = 0, len(s)
-    hopeless: set[str] = set()  # quotes that have no close further on: tried once, remembered
+    failed: dict[str, set[int]] = {}
     while i < n:
         i = _BLANK.match(s, i).end()
         if i >= n:
@@ -111,22 +120,20 @@ def parse(field: str | None) -> list[tuple[str, str | None]]:
             i = _BLANK.match(s, r.end()).end()
             if i < n and s[i] == "]":
                 i += 1
-        elif c in QUOTES and c not in hopeless and (q := _quoted(s, i)):
+        elif c in QUOTES and (q := _quoted(s, i, failed)):
             if q[0].strip():
                 found.append((q[0].strip(), None))
             i = _BLANK.match(s, q[1]).end()
             if i < n and s[i] == "]":
                 i += 1
-        elif c == "[" and i + 1 < n and s[i + 1] in QUOTES and _quoted(s, i + 1):
+        elif c == "[" and i + 1 < n and s[i + 1] in QUOTES and _quoted(s, i + 1, failed):
             i += 1  # Bracketed: the bracket goes, the quoted value inside comes next
             continue
         else:
             start = i
-            if c in QUOTES:
-                hopeless.add(c)
             if c in QUOTES and c not in "'‘":
                 start, error = i + 1, "unclosed_quote"
-            elif c in "'‘" and QUOTES[c] not in s[i + 1 :]:
+            elif c in "'‘" and s.rfind(QUOTES[c]) <= i:
                 start, error = i + 1, "unclosed_quote"
             m = _BARE_END.search(s, start)
             i = m.start() if m else n

@@ -1,9 +1,11 @@
+import time
 from datetime import datetime
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from newsloom.operators import packed
 from newsloom.operators.packed import parse, split_packed
 
 
@@ -61,8 +63,33 @@ def test_never_raises(field):
     assert all(v.strip() for v in values(field))
 
 
-def test_long_malformed_field_is_fast():
-    assert len(values('"x,' * 40_000)) == 40_000
+@pytest.mark.parametrize("piece", ['"x,', "'x,", "‘x,", '\\"x,', "['x,", '""x', '"\\'])
+def test_long_malformed_fields_take_linear_time(piece):
+    start = time.process_time()
+    found = values(piece * 40_000)
+    assert time.process_time() - start < 20
+    if piece == '"x,':
+        assert len(found) == 40_000
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="ab,;'\"\\ [", max_size=30))
+def test_memory_of_failed_places_changes_nothing(field):
+    """The same as trying every quote anew."""
+
+    class Forgets(dict):
+        def setdefault(self, key, default=None):
+            return set()
+
+    real = packed._quoted
+    try:
+        remembered = parse(field)
+        packed._quoted = lambda s, i, failed: real(s, i, Forgets())
+        assert parse(field) == remembered
+    finally:
+        packed._quoted = real
+
+
 
 
 def test_rows(make_articles):
