@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 
 from newsloom.runtime import cut, earliest, ship
 
-#: Symbols of a vector of anchors().
-N = 4
 #: Bits of a bitmap, 64 to a word; the first DENSE words are compared for all meetings, the rest where those agree.
 BITS, DENSE = 192, 2
 #: Texts of a word up to which one task compares them all; rows and columns of a tile.
@@ -60,62 +58,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_SEEDS = _mix(np.arange(1, N + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-
-
-def _described(batch: pa.RecordBatch) -> tuple[list[int | None], list[np.ndarray]]:
-    hashes = [word_hashes(h, s) for h, s in zip(batch.column("headline").to_pylist(), batch.column("summary").to_pylist())]
-    ids = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None for h in hashes]
-    return ids, hashes
-
-
-def _deliveries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, _ = _described(b)
-        yield pa.RecordBatch.from_arrays([b.column("dedupe_key"), b.column("ingested_at"), pa.array(ids, pa.int64())], names=["dedupe_key", "ingested_at", "cid"])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, hashes = _described(b)
-        keep = [k for k, i in enumerate(ids) if i is not None]
-        words = [(hashes[k] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for k in keep]
-        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), pa.array(words, pa.list_(pa.int32()))], names=["cid", "words"])
+        hashes = [word_hashes(h, s) for h, s in zip(b.column("headline").to_pylist(), b.column("summary").to_pylist())]
+        ids = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None for h in hashes]
+        words = [(h & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for h in hashes]
+        yield pa.RecordBatch.from_arrays([b.column("dedupe_key"), b.column("ingested_at"), pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int32()))], names=["dedupe_key", "ingested_at", "cid", "words"])
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        _, hashes = _described(b)
-        if hashes:
-            n += np.bincount(((np.concatenate(hashes) & _U(0xFFFFFFFF)) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        n += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) % np.uint32(BUCKETS), minlength=BUCKETS)
     used = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
 
-def word_counts(articles: DataFrame) -> np.ndarray:
+def word_counts(described: DataFrame) -> np.ndarray:
     """Per word bucket the texts that have its words (a word counts in each). Its size is fixed."""
-    counts = articles.select("headline", "summary").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = described.select("words").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()  # at most BUCKETS rows
     n = np.zeros(BUCKETS, np.int64)
     n[rows.bucket.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return n
 
 
-def anchors(symbols: np.ndarray, table: int) -> np.ndarray:
-    """Hashes of the N code words of the parity code within radius 1 of each vector (columns of an N-row matrix).
-    The pairs no longer depend on them."""
-    s = _mix(symbols.view(_U))
-    total = s.sum(axis=0)
-    out = np.empty((N, s.shape[1]), _U)
-    for drop in range(N):
-        h = np.full(s.shape[1], _SEEDS[0] + _U(table), _U)
-        for j in range(N):
-            h = _mix(h ^ (s[j] if j != drop else s[j] - total)) + _U(j)
-        out[drop] = h
-    return out
-
-
 def _needed(n: np.ndarray, share: float) -> np.ndarray:
     """The least whole number that is at least the share of n; never too high for rounding."""
     return np.ceil(n * share - 1e-9).astype(np.int64)
@@ -233,9 +200,11 @@ def similar_classes(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[
     ship(articles.sparkSession)
     text = articles.select("dedupe_key", "ingested_at", F.col("headline").cast("string"), F.col("summary").cast("string"))
     kind = dict(text.dtypes)["ingested_at"]
-    members = earliest(text.mapInArrow(_deliveries, f"dedupe_key string, ingested_at {kind}, cid bigint"), ["dedupe_key"], ["cid"]).where("cid is not null and dedupe_key is not null").select("dedupe_key", "cid")
-    classes = text.select("headline", "summary").mapInArrow(_texts, "cid bigint, words array<int>").where("cid is not null").groupBy("cid").agg(F.first("words").alias("words"))
-    shared = articles.sparkSession.sparkContext.broadcast(word_counts(text))
+    # texts are read once; what follows needs only the hashes of their words
+    described = cut(text.mapInArrow(_described, f"dedupe_key string, ingested_at {kind}, cid bigint, words array<int>"), "words")
+    members = earliest(described.select("dedupe_key", "ingested_at", "cid"), ["dedupe_key"], ["cid"]).where("cid is not null and dedupe_key is not null").select("dedupe_key", "cid")
+    classes = described.where("cid is not null").groupBy("cid").agg(F.first("words").alias("words"))
+    shared = articles.sparkSession.sparkContext.broadcast(word_counts(described))
     laid = classes.mapInArrow(_prefixes(shared, threshold), PREFIX).repartition("key").sortWithinPartitions("key")
     met = laid.mapInArrow(_meetings(threshold), "cid_a bigint, cid_b bigint").distinct()
     wa = classes.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa"))

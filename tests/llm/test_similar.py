@@ -51,8 +51,7 @@ def test_against_brute_force(make_articles):
     want = brute(rows)
     got = pairs(make_articles(rows))
     assert len(got) == len(set(got))
-    assert set(got) <= want
-    assert len(want - set(got)) <= 0.01 * len(want)
+    assert set(got) == want
 
 
 def test_odd_rows(make_articles):
@@ -101,17 +100,6 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(201)} | {1000: 1000, 1001: 1000}
 
 
-def test_vectors_that_differ_in_one_symbol_share_an_anchor():
-    rng = random.Random(2)
-    for _ in range(50):
-        x = [rng.getrandbits(40) for _ in range(similar.N)]
-        y = list(x)
-        y[rng.randrange(similar.N)] = rng.getrandbits(40)
-        z = [rng.getrandbits(40) for _ in range(similar.N)]
-        a = [set(c) for c in similar.anchors(similar.np.array([x, y, z], similar.np.int64).T.copy(), 0).T.tolist()]
-        assert a[0] & a[1] and not a[0] & a[2]
-
-
 def templated(seed, stories=60):
     """Texts of few templates: similar ones share common words, and their rare words differ."""
     rng = random.Random(seed)
