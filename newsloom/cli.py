@@ -9,7 +9,6 @@ import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from newsloom.functions.clean import source_flags, symbol_list
 from newsloom.operators import features, model, scoring
@@ -39,11 +38,12 @@ def _parser() -> argparse.ArgumentParser:
     window = [("--start", {}), ("--end", {})]
     source = [("--config", {}), ("--sources", {}), ("--interval", {"default": "1d"}), ("--landing", {}), ("--extra-query", {}), ("--page-size", {"type": int, "default": 100}), ("--max-pages", {"type": int, "default": 1}), ("--feed", {})]
     step("ingest", *source, *window)
-    step("score", scored, *window, ("--limit", {"type": int}), ("--rescore", {"action": "store_true"}))
+    scorer = [("--model-dir", {"help": "folder of a local classifier; without one only the word list can score"}), ("--batch-size", {"type": int, "default": scoring.BATCH})]
+    step("score", scored, *scorer, *window, ("--limit", {"type": int}), ("--rescore", {"action": "store_true"}))
     step("features", *feature, *window, ("--output", {}))
     step("train", *feature, ("--model", {"default": "gbt_regressor"}), ("--train-fraction", {"type": float, "default": 0.8}), ("--model-path", {}), ("--rounds", {"type": int}))
     step("predict", *feature, ("--model", {"default": "gbt_regressor"}), ("--model-path", {"required": True}), ("--session", {}))
-    step("pipeline", *source, *feature, *window, ("--model", {"default": "gbt_regressor"}), ("--train-fraction", {"type": float, "default": 0.8}), ("--model-path", {}), ("--rounds", {"type": int}), ("--skip", {"default": ""}), ("--limit", {"type": int, "default": 500}), ("--rescore", {"action": "store_true"}), ("--output", {}), ("--session", {}))
+    step("pipeline", *source, *feature, *scorer, *window, ("--model", {"default": "gbt_regressor"}), ("--train-fraction", {"type": float, "default": 0.8}), ("--model-path", {}), ("--rounds", {"type": int}), ("--skip", {"default": ""}), ("--limit", {"type": int, "default": 500}), ("--rescore", {"action": "store_true"}), ("--output", {}), ("--session", {}))
     return p
 
 
@@ -77,7 +77,7 @@ def do_ingest(store: Store, a: argparse.Namespace) -> int:
 
 def do_score(store: Store, a: argparse.Namespace) -> int:
     todo = tables.articles_to_score(store.read("articles"), store.read("article_sentiment"), a.model_id, symbol_list(a.symbols), a.start, a.end, only_missing=not a.rescore, limit=a.limit)
-    log.info("%d scored", store.upsert_article_sentiment(scoring.score_lexicon(todo, a.model_id)))
+    log.info("%d scored", store.upsert_article_sentiment(scoring.score(todo, a.model_id, a.model_dir, a.batch_size)))
     return 0
 
 
@@ -112,8 +112,11 @@ def do_predict(store: Store, a: argparse.Namespace) -> int:
         log.error("nothing to predict")
         return 1
     out = model.get_model(a.model, features.TARGET).load(a.model_path).predict(rows, PREDICTED)
-    out.select(*(c for c in ("symbol", "bar_ts", "nyse_session", PREDICTED) if c in out.columns)).orderBy("symbol").show(1000, truncate=False)
-    out.agg(F.avg(PREDICTED).alias("mean"), F.when(F.count(PREDICTED) > 1, F.stddev_pop(PREDICTED)).otherwise(0.0).alias("std")).show()
+    chosen = [c for c in ("symbol", "bar_ts", "nyse_session", PREDICTED) if c in out.columns]
+    print(*chosen, sep="\t")
+    for row in out.select(*chosen).orderBy("symbol").toLocalIterator():
+        print(*row, sep="\t")
+    print(features.prediction_summary(out, PREDICTED).first().asDict())
     return 0
 
 
@@ -121,6 +124,7 @@ STEPS = {"ingest": do_ingest, "score": do_score, "features": do_features, "train
 
 
 def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
+    config.load_env()
     try:
         a = _parser().parse_args(args)
     except SystemExit as e:

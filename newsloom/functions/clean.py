@@ -52,9 +52,9 @@ def iso_utc(ts: Column) -> Column:
 
 
 def dedupe_key(source: Column, article_id: Column, url: Column, published_at: Column, headline: Column) -> Column:
-    """By id, else by url, else by time and the first 200 characters of the headline."""
+    """By id, else by url, else by time and the first 200 characters of the stripped headline (none if it is blank)."""
     when = F.coalesce(published_at.cast("timestamp_ntz"), F.lit(EPOCH).cast("timestamp_ntz"))
-    fallback = F.concat_ws(":", F.lit("fallback"), iso_utc(when), F.substring(F.coalesce(headline, F.lit("")), 1, 200))
+    fallback = F.concat_ws(":", F.lit("fallback"), iso_utc(when), F.when(is_blank(headline), "").otherwise(F.substring(strip(headline), 1, 200)))
     tail = F.when(~is_blank(article_id), F.concat(F.lit("id:"), strip(article_id))).when(~is_blank(url), F.concat(F.lit("url:"), strip(url))).otherwise(fallback)
     return F.concat(vendor(source), F.lit(":"), tail)
 

@@ -1,6 +1,7 @@
 """Sentiment per symbol and session, joined to bars; labels, splits and the newest bar.
 
-Means and deviations are taken from decimal sums (scores to 12 places), so they do not depend on the order of rows.
+Means and deviations are taken from sums of whole units (scores to 12 places), so they do not depend on the order of rows
+and lose nothing where scores are nearly equal.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ def _assigned(scored: DataFrame, mode: str, days: DataFrame | None) -> DataFrame
 
 def aggregate(assigned: DataFrame) -> DataFrame:
     """symbol, nyse_session, mean, count and sample deviation of score (null for a single one)."""
-    x = F.col("score").cast("decimal(18,12)")
+    unit = 10.0**12
+    x = (F.col("score").cast("decimal(18,12)") * F.lit(10**12)).cast("decimal(18,0)")
     n = F.col("n").cast("double")
-    sums = assigned.groupBy("symbol", "nyse_session").agg(F.sum(x).alias("s"), F.sum((x * x).cast("decimal(26,12)")).alias("q"), F.count(x).alias("n"))
-    spread = F.col("q").cast("double") - F.col("s").cast("double") * F.col("s").cast("double") / n
+    sums = assigned.groupBy("symbol", "nyse_session").agg(F.sum(x).alias("s"), F.sum((x * x).cast("decimal(28,0)")).alias("q"), F.count(x).alias("n"), F.stddev_samp("score").alias("d"))
+    # n q - s s in whole units, exact as long as a decimal holds it
+    spread = F.try_subtract(F.try_multiply(F.col("n").cast("decimal(19,0)"), F.col("q")), F.try_multiply(F.col("s"), F.col("s")))
+    exact = F.sqrt(spread.cast("double") / (n * (n - 1))) / unit
     return sums.select(
         "symbol",
         "nyse_session",
-        (F.col("s").cast("double") / n).alias("sentiment_mean"),
+        (F.col("s").cast("double") / unit / n).alias("sentiment_mean"),
         F.col("n").alias("sentiment_n"),
-        F.when(F.col("n") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))).alias("sentiment_std"),
+        F.when(F.col("n") > 1, F.coalesce(exact, F.col("d"))).alias("sentiment_std"),
     )
 
 
@@ -142,6 +146,12 @@ def regression_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFram
     )
 
 
+def prediction_summary(rows: DataFrame, predicted: str) -> DataFrame:
+    """n, mean and population deviation of a prediction; the deviation of a single one is zero."""
+    p = F.col(predicted)
+    return rows.agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.when(F.count(p) > 1, F.stddev_pop(p)).otherwise(0.0).alias("std"))
+
+
 def feature_columns() -> list[str]:
     return list(SENTIMENT_FEATURES)
 

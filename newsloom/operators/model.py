@@ -31,12 +31,13 @@ def feature_matrix(frame: DataFrame, columns: Sequence[str] | None = None, outpu
 
 
 class TreeModel:
-    """One of the named models. `rounds`, `depth`, `rate`, `share` are trees, depth, learning rate, row share."""
+    """One of the named models. `rounds`, `depth`, `rate`, `share` are trees, depth, learning rate, row share;
+    `columns_share` is the share of the columns looked at in a split."""
 
-    def __init__(self, kind: str, label: str, columns: Sequence[str] | None = None, rounds: int = 200, depth: int = 4, rate: float = 0.05, share: float = 0.8, seed: int = 42):
+    def __init__(self, kind: str, label: str, columns: Sequence[str] | None = None, rounds: int = 200, depth: int = 4, rate: float = 0.05, share: float = 0.8, columns_share: float = 1.0, seed: int = 42):
         self.columns, self.label, self.kind = list(columns or feature_columns()), label, kind
         cls = {"regressor": GBTRegressor, "classifier": GBTClassifier}[kind]
-        self.estimator = cls(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed)
+        self.estimator = cls(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(columns_share) if columns_share < 1 else "all", seed=seed)
         self.model: PipelineModel | None = None
 
     def fit(self, frame: DataFrame) -> TreeModel:
@@ -61,7 +62,7 @@ class TreeModel:
 
 #: Default parameters by name.
 MODELS = {
-    "gbt_regressor": {"kind": "regressor", "rounds": 200, "depth": 4, "rate": 0.05, "share": 0.8, "seed": 42},
+    "gbt_regressor": {"kind": "regressor", "rounds": 200, "depth": 4, "rate": 0.05, "share": 0.8, "columns_share": 0.8, "seed": 42},
     "gbt_classifier": {"kind": "classifier", "rounds": 100, "depth": 4, "rate": 0.1, "share": 1.0, "seed": 42},
 }
 

@@ -15,11 +15,15 @@ from newsloom.functions import clean
 from newsloom.runtime import ship
 
 EMPTY = "empty_text"
+#: Texts a call of a scorer gets, and tokens of a text a classifier reads (fixed values).
+BATCH, MAX_TOKENS = 8, 512
 LEXICON_MODEL = "lexicon-1"
 #: Words of the default scorer (fixed values).
 POSITIVE = "gain gained gains beat beats lifted raised record growth strong stronger improved improves profit profits upgrade upgraded surge surged climbed recovered won win rebounded firmed added".split()
 NEGATIVE = "loss losses lost missed miss cut cuts weak weaker shed fell fall falls decline declined downgrade downgraded slump slumped warned lawsuit fraud faltered stalled dropped delayed wrote hurting lapsed".split()
 
+#: Columns by label name.
+LABEL_NAMES = {k: f"prob_{v}" for k, v in clean.LABELS.items()}
 #: texts -> one dict per text with prob_pos, prob_neg, prob_neutral (missing ones count as null).
 Scorer = Callable[[Sequence[str]], Sequence[dict]]
 
@@ -52,7 +56,65 @@ def score_lexicon(articles: DataFrame, model_id: str = LEXICON_MODEL) -> DataFra
     return _finish(text.withColumns(lexicon_probabilities(F.col("_text"))).withColumn("_error", F.lit(None).cast("string")), model_id)
 
 
-def score_with(articles: DataFrame, load: Callable[[], Scorer], model_id: str, batch_size: int = 8) -> DataFrame:
+def score(articles: DataFrame, model_id: str = LEXICON_MODEL, model_dir: str | None = None, batch_size: int = BATCH) -> DataFrame:
+    """Sentiment rows by the scorer that belongs to the id: the word list to LEXICON_MODEL, any other to a classifier folder."""
+    if (model_id == LEXICON_MODEL) != (model_dir is None):
+        raise ValueError(f"{model_id!r} needs a classifier folder; the word list scores as {LEXICON_MODEL!r} only")
+    return score_lexicon(articles) if model_dir is None else score_with(articles, classifier(model_dir), model_id, batch_size)
+
+
+class Classifier:
+    """A text classifier over `session` (run(None, inputs) -> [logits]) and `tokenizer` (encode_batch), with label names by index.
+    Texts are cut at MAX_TOKENS tokens, as such models demand."""
+
+    def __init__(self, session, tokenizer, labels: Sequence[str]):
+        self.session, self.tokenizer = session, tokenizer
+        self.names = [LABEL_NAMES.get(str(n).strip().lower()) for n in labels]
+        if {"prob_pos", "prob_neg"} - set(self.names):
+            raise ValueError(f"no positive or no negative label among {list(labels)}")
+
+    def __call__(self, texts: Sequence[str]) -> list[dict]:
+        import numpy as np
+
+        found = self.tokenizer.encode_batch(list(texts))
+        ids, mask = ([(e.ids if k == 0 else e.attention_mask)[:MAX_TOKENS] for e in found] for k in (0, 1))
+        width = max((len(i) for i in ids), default=0)
+        pad = lambda rows: np.array([r + [0] * (width - len(r)) for r in rows], np.int64)
+        z = np.asarray(self.session.run(None, {"input_ids": pad(ids), "attention_mask": pad(mask)})[0], float)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return [{n: float(v) for n, v in zip(self.names, row) if n} for row in p]
+
+
+def classifier(folder: str) -> Callable[[], Scorer]:
+    """A loader of the classifier in a folder with model.onnx, tokenizer.json and config.json (id2label)."""
+
+    def load() -> Scorer:
+        import json
+        from pathlib import Path
+
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        where = Path(folder)
+        tokenizer = Tokenizer.from_file(str(where / "tokenizer.json"))
+        tokenizer.enable_truncation(MAX_TOKENS)
+        names = json.loads((where / "config.json").read_text(encoding="utf-8"))["id2label"]
+        session = onnxruntime.InferenceSession(str(where / "model.onnx"), providers=["CPUExecutionProvider"])
+        return Classifier(session, tokenizer, [names[str(k)] for k in range(len(names))])
+
+    return load
+
+
+def score_one(text: str, scorer: Scorer) -> dict:
+    """The answer of a scorer to one text, with its score; an empty text raises."""
+    if not text or not text.strip():
+        raise ValueError(EMPTY)
+    answer = dict(scorer([text.strip()])[0])
+    return answer | {"score": answer["prob_pos"] - answer["prob_neg"]}
+
+
+def score_with(articles: DataFrame, load: Callable[[], Scorer], model_id: str, batch_size: int = BATCH) -> DataFrame:
     """Sentiment rows by a scorer that each worker loads once. A batch that fails gives its rows an error."""
     ship(articles.sparkSession)
     text = articles.select("dedupe_key", clean.model_text(F.col("headline"), F.col("summary")).alias("_text"))

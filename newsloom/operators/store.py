@@ -56,6 +56,11 @@ class Store:
     def tables(self) -> list[str]:
         return [name for name in sorted(TABLES) if self._parts(name)]
 
+    def names(self, unlike: str | None = None) -> DataFrame:
+        """Names of the tables that exist, those like the SQL pattern left out."""
+        found = self.spark.createDataFrame([(n,) for n in self.tables()], "name string")
+        return found if unlike is None else found.where(~F.col("name").like(unlike))
+
     def columns(self, name: str) -> DataFrame:
         """name, type, not_null, key position (0: none) of the columns of a table."""
         rows = [(f.name, f.dataType.simpleString(), not f.nullable, KEYS[name].index(f.name) + 1 if f.name in KEYS[name] else 0) for f in TABLES[name]]
@@ -127,8 +132,9 @@ def merged(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.join(rows.select(*KEYS["article_sentiment"]), KEYS["article_sentiment"], "left_anti").unionByName(rows)
 
 
-def foreign_key_violations(sentiment: DataFrame, articles: DataFrame) -> DataFrame:
-    return sentiment.select("dedupe_key").join(articles.select("dedupe_key"), "dedupe_key", "left_anti").distinct()
+def foreign_key_violations(child: DataFrame, parent: DataFrame, key: str = "dedupe_key") -> DataFrame:
+    """The keys of child rows without a parent; a null key refers to nothing."""
+    return child.select(key).where(F.col(key).isNotNull()).distinct().join(parent.select(key), key, "left_anti")
 
 
 def _optional(df: DataFrame, *names: str) -> Column:
@@ -206,7 +212,7 @@ def bars_of_symbols(bars: DataFrame, symbols: Sequence[str], bar_interval: str =
     rows = bars.where(F.col("symbol").isin(wanted) if wanted else F.lit(False)).where(F.col("bar_interval") == bar_interval.strip().lower())
     if source_api:
         rows = rows.where(F.col("source_api") == source_api.strip().lower())
-    return _between(rows, "bar_ts", start, end)
+    return _between(rows, "bar_ts", start, end).orderBy("symbol", "bar_ts", "source_api")
 
 
 def latest_bars(bars: DataFrame, n: int = 10) -> DataFrame:

@@ -20,7 +20,7 @@ from newsloom.sources import normalize
 
 MODEL = "toneclass-a"
 SYMBOLS = ["quven ", "QXMHI", "", "XYOVB"]
-SESSION = "2024-08-05"
+SESSION = "2024-07-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,21 +50,21 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 
 
+#: Days on which the exchange was shut or shut early in the span of the data (fixed values), for the SQL only.
+_SHUT = "2024-06-19 2024-07-04 2024-09-02 2024-11-28 2024-12-25 2025-01-01 2025-01-09 2025-01-20".split()
+_EARLY_CLOSE = "2024-07-03 2024-11-29 2024-12-24".split()
+
+
 def _sessions() -> str:
-    """Sessions of the data's span as rows: day, prev_close, open, close, and the end of the New York day in UTC."""
-    days = [x for x in calendar.session_days(2024, 2025)]
-    rows = []
-    for (_, _, before), (d, o, c) in zip(days, days[1:]):
-        if "2024-06-01" <= d.isoformat() <= "2025-01-31":
-            end = o.replace(hour=o.hour - 9, minute=0)  # 09:30 local less 9.5 hours is midnight
-            rows.append(f"(DATE '{d}', TIMESTAMP '{before}', TIMESTAMP '{o}', TIMESTAMP '{c}', TIMESTAMP '{end}' + INTERVAL 1 DAY)")
-    return "cal(day, prev_close, open_utc, close_utc, day_end) AS (VALUES " + ", ".join(rows) + ")"
+    """Sessions of the data's span in SQL: day, prev_close, open, close, and the end of the New York day, all in UTC."""
+    dates = lambda days: ", ".join(f"DATE '{d}'" for d in days)
+    return f"""days AS (SELECT d::DATE AS day, CASE WHEN d < DATE '2024-11-03' THEN 4 ELSE 5 END AS behind FROM generate_series(DATE '2024-05-31', DATE '2025-01-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 AND d::DATE NOT IN ({dates(_SHUT)})),
+hours AS (SELECT day, day + to_minutes(570 + 60 * behind) AS open_utc, day + to_minutes(CASE WHEN day IN ({dates(_EARLY_CLOSE)}) THEN 780 ELSE 960 END + 60 * behind) AS close_utc, day + 1 + to_hours(behind) AS day_end FROM days),
+cal AS (SELECT day, lag(close_utc) OVER (ORDER BY day) AS prev_close, open_utc, close_utc, day_end FROM hours)"""
 
 
 _C = _sessions()
-_AGG = """agg AS (SELECT symbol, nyse_session, CAST(sum(x) AS DOUBLE) / n AS sentiment_mean, n AS sentiment_n,
- CASE WHEN n > 1 THEN sqrt(greatest(CAST(sum(q) AS DOUBLE) - CAST(sum(x) AS DOUBLE) * CAST(sum(x) AS DOUBLE) / n, 0) / (n - 1)) END AS sentiment_std
- FROM (SELECT symbol, nyse_session, CAST(score AS DECIMAL(18,12)) AS x, CAST(CAST(score AS DECIMAL(18,12)) * CAST(score AS DECIMAL(18,12)) AS DECIMAL(26,12)) AS q, count(*) OVER (PARTITION BY symbol, nyse_session) AS n FROM assigned) GROUP BY symbol, nyse_session, n)"""
+_AGG = "agg AS (SELECT symbol, nyse_session, round(avg(score), 9) AS sentiment_mean, count(*) AS sentiment_n, round(stddev_samp(score), 9) AS sentiment_std FROM assigned GROUP BY symbol, nyse_session)"
 _SCORED = f"scored AS (SELECT a.symbol, a.published_at, s.score FROM s JOIN a USING (dedupe_key) WHERE s.model_id = '{MODEL}' AND s.error IS NULL AND s.score IS NOT NULL)"
 _CUTOFF = "assigned AS (SELECT scored.*, day AS nyse_session FROM scored JOIN cal ON published_at >= prev_close AND published_at < open_utc)"
 _BY_DAY = "assigned AS (SELECT scored.*, day AS nyse_session FROM (SELECT * FROM scored WHERE published_at >= TIMESTAMP '2024-06-03') scored ASOF JOIN cal ON published_at < day_end)"
@@ -73,6 +73,11 @@ _BAR_COLUMNS = ["source_api", "symbol", "bar_interval", "bar_ts", "open", "high"
 _FEATURES = ["nyse_session", "sentiment_mean", "sentiment_n", "sentiment_std"]
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Mean and deviation to 9 places, as sums of doubles depend on their order in the SQL."""
+    return df.withColumns({c: F.round(c, 9) for c in ("sentiment_mean", "sentiment_std")})
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -99,12 +104,12 @@ def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 @query(_feature_sql(_CUTOFF))
 def feat_daily_bars_sentiment_open_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.daily_bars_sentiment(*_all(spark, sf_dir), MODEL).select(*_BAR_COLUMNS, *_FEATURES)
+    return _rounded(features.daily_bars_sentiment(*_all(spark, sf_dir), MODEL)).select(*_BAR_COLUMNS, *_FEATURES)
 
 
 @query(_feature_sql(_BY_DAY))
 def feat_daily_bars_sentiment_article_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.daily_bars_sentiment(*_all(spark, sf_dir), MODEL, mode=features.ARTICLE_SESSION).select(*_BAR_COLUMNS, *_FEATURES)
+    return _rounded(features.daily_bars_sentiment(*_all(spark, sf_dir), MODEL, mode=features.ARTICLE_SESSION)).select(*_BAR_COLUMNS, *_FEATURES)
 
 
 _TRAIN = f"train AS (SELECT l.source_api, l.symbol, l.bar_ts, l.nyse_session, l.close, l.open, sentiment_mean, sentiment_n, sentiment_std, l.close / l.open - 1 AS {features.TARGET} FROM labelled l LEFT JOIN agg USING (symbol, nyse_session) WHERE l.source_api = 'alpaca' AND l.open IS NOT NULL AND l.close IS NOT NULL AND l.open > 0)"
@@ -112,7 +117,7 @@ _TRAIN = f"train AS (SELECT l.source_api, l.symbol, l.bar_ts, l.nyse_session, l.
 
 @query(_with(_A, _B, _S, _C, _SCORED, _CUTOFF, _AGG, _BARS_LABELLED, _TRAIN) + f"SELECT symbol, bar_ts, nyse_session, sentiment_mean, sentiment_n, sentiment_std, {features.TARGET} FROM train")
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.training_frame(*_all(spark, sf_dir), MODEL).select("symbol", "bar_ts", *_FEATURES, features.TARGET)
+    return _rounded(features.training_frame(*_all(spark, sf_dir), MODEL).select("symbol", "bar_ts", *_FEATURES, features.TARGET))
 
 
 @query(
@@ -126,17 +131,17 @@ def time_series_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_A, _B, _S, _C, _SCORED, _CUTOFF, _AGG, _BARS_LABELLED) + "SELECT symbol, bar_ts, close, nyse_session, sentiment_mean, sentiment_n, sentiment_std FROM (SELECT l.*, sentiment_mean, sentiment_n, sentiment_std, row_number() OVER (PARTITION BY l.symbol ORDER BY bar_ts DESC, source_api DESC) AS nth FROM labelled l LEFT JOIN agg USING (symbol, nyse_session) WHERE source_api = 'alpaca') WHERE nth = 1")
 def latest_bar_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.latest_bar_inference(*_all(spark, sf_dir), MODEL).select("symbol", "bar_ts", "close", *_FEATURES)
+    return _rounded(features.latest_bar_inference(*_all(spark, sf_dir), MODEL).select("symbol", "bar_ts", "close", *_FEATURES))
 
 
 @query(_with(_A, _S, _C, _SCORED, _CUTOFF, _AGG) + f"SELECT symbol, nyse_session, sentiment_mean, sentiment_n, sentiment_std FROM agg WHERE nyse_session = DATE '{SESSION}' AND symbol IN ('QUVEN', 'QXMHI', 'XYOVB')")
 def session_features_open_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.target_session_features(articles(spark, sf_dir), sentiment(spark, sf_dir), MODEL, SYMBOLS, SESSION).select("symbol", *_FEATURES)
+    return _rounded(features.target_session_features(articles(spark, sf_dir), sentiment(spark, sf_dir), MODEL, SYMBOLS, SESSION)).select("symbol", *_FEATURES)
 
 
 @query(_with(_A, _S, _C, _SCORED, _BY_DAY, _AGG) + f"SELECT k.symbol, DATE '{SESSION}' AS nyse_session, sentiment_mean, sentiment_n, sentiment_std FROM (VALUES ('QUVEN'), ('QXMHI'), ('XYOVB')) k(symbol) LEFT JOIN agg ON agg.symbol = k.symbol AND nyse_session = DATE '{SESSION}'")
 def session_features_article_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.target_session_features(articles(spark, sf_dir), sentiment(spark, sf_dir), MODEL, SYMBOLS, SESSION, features.ARTICLE_SESSION).select("symbol", *_FEATURES)
+    return _rounded(features.target_session_features(articles(spark, sf_dir), sentiment(spark, sf_dir), MODEL, SYMBOLS, SESSION, features.ARTICLE_SESSION)).select("symbol", *_FEATURES)
 
 
 @query(
@@ -175,10 +180,11 @@ def session_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(_A, _C, "t AS (SELECT dedupe_key, published_at AS t FROM a WHERE published_at >= TIMESTAMP '2024-06-04')", "o AS (SELECT t.dedupe_key, open_utc FROM t ASOF JOIN cal ON t.t < open_utc)", "c AS (SELECT t.dedupe_key, t.t, open_utc, close_utc FROM t ASOF JOIN cal ON t.t < close_utc)")
-    + "SELECT c.dedupe_key, c.t >= c.open_utc AS is_open, o.open_utc AS next_open, c.close_utc AS next_close FROM c JOIN o USING (dedupe_key)"
+    + "SELECT c.dedupe_key, c.t >= c.open_utc AS is_open, o.open_utc AS next_open, c.close_utc AS next_close FROM c JOIN o USING (dedupe_key) UNION ALL SELECT dedupe_key, false, NULL, NULL FROM a WHERE published_at < TIMESTAMP '2024-06-04'"
 )
 def market_clock_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = articles(spark, sf_dir).where("published_at >= timestamp_ntz'2024-06-04'").select("dedupe_key", "published_at")
+    """The times of all articles; those without a time (1970) lie outside the calendar."""
+    rows = articles(spark, sf_dir).select("dedupe_key", "published_at")
     return calendar.with_market_clock(rows, "published_at").select("dedupe_key", "is_open", "next_open", "next_close")
 
 
@@ -188,9 +194,9 @@ def bars_multi_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.bars_of_symbols(bars(spark, sf_dir), SYMBOLS, start="2024-08-01", end="2024-09-01")
 
 
-@query(_with(_B) + "SELECT * FROM b WHERE symbol = 'QUVEN' AND bar_interval = '1h' AND source_api = 'alpaca'")
+@query(_with(_B) + "SELECT * FROM b WHERE symbol = 'QUVEN' AND bar_interval = '1m' AND source_api = 'alpaca'")
 def bars_single_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.bars_frame(bars(spark, sf_dir), "quven", "1h", " Alpaca ")
+    return store.bars_frame(bars(spark, sf_dir), "quven", "1M", " Alpaca ")
 
 
 @query(_with(_B) + "SELECT * FROM b ORDER BY bar_ts DESC, symbol, source_api, bar_interval LIMIT 10")
@@ -259,10 +265,10 @@ def sentiment_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merged(target, store.last_rows(second)).select("dedupe_key", "model_id", "score", "prob_pos", "text_hash", "error")
 
 
-@query("SELECT DISTINCT dedupe_key FROM article_sentiment WHERE dedupe_key NOT IN (SELECT dedupe_key FROM articles WHERE source_api <> 'fmp')")
+@query("SELECT DISTINCT symbol FROM articles WHERE symbol IS NOT NULL AND symbol NOT IN (SELECT symbol FROM bars WHERE symbol IS NOT NULL)")
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against the articles without one vendor, so that there are some."""
-    return store.foreign_key_violations(table(spark, sf_dir, "article_sentiment"), table(spark, sf_dir, "articles").where("source_api <> 'fmp'"))
+    """Symbols of articles, as written, that no bar has."""
+    return store.foreign_key_violations(table(spark, sf_dir, "articles"), table(spark, sf_dir, "bars"), "symbol")
 
 
 _COLUMN_ROWS = ", ".join(f"('{t}', '{f.name}', '{f.dataType.simpleString()}', {str(not f.nullable).upper()})" for t, s in TABLES.items() for f in s)
@@ -275,17 +281,32 @@ def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- scalars --------------------------------------------------------------------------------------------------
+_HEADLINE = f"CASE WHEN headline IS NULL OR lower({_strip('headline')}) IN ('', 'nan') THEN '' ELSE left({_strip('headline')}, 200) END"
+
+
 @query(
     _with(_A)
     + f"""SELECT dedupe_key, source_api || ':' || CASE WHEN external_article_id IS NOT NULL AND lower({_strip('external_article_id')}) NOT IN ('', 'nan') THEN 'id:' || {_strip('external_article_id')}
  WHEN url IS NOT NULL AND lower({_strip('url')}) NOT IN ('', 'nan') THEN 'url:' || {_strip('url')}
- ELSE 'fallback:' || strftime(published_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(published_at) % 1000000 <> 0 THEN strftime(published_at, '.%f') ELSE '' END || '+00:00:' || left(coalesce(headline, ''), 200) END AS computed FROM a"""
+ ELSE 'fallback:' || strftime(published_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(published_at) % 1000000 <> 0 THEN strftime(published_at, '.%f') ELSE '' END || '+00:00:' || {_HEADLINE} END AS computed FROM a"""
 )
 def article_dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return articles(spark, sf_dir).select("dedupe_key", clean.dedupe_key(c("source_api"), c("external_article_id"), c("url"), c("published_at"), c("headline")).alias("computed"))
 
 
+@query(
+    "WITH r AS (SELECT published_at, unnest([headline, '  ' || headline || chr(9), ' NaN', '   ', NULL]) AS headline FROM articles)\n"
+    + f"SELECT 'newsapi:fallback:' || strftime(published_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(published_at) % 1000000 <> 0 THEN strftime(published_at, '.%f') ELSE '' END || '+00:00:' || {_HEADLINE} AS computed FROM r"
+)
+def article_fallback_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys without id and url, of headlines as they are, padded, blank and missing."""
+    h, none = F.col("headline"), F.lit(None).cast("string")
+    written = F.array(h, F.concat(F.lit("  "), h, F.lit("\t")), F.lit(" NaN"), F.lit("   "), none)
+    rows = table(spark, sf_dir, "articles").select("published_at", F.explode(written).alias("headline"))
+    return rows.select(clean.dedupe_key(F.lit(" NewsAPI"), none, F.lit("  "), F.col("published_at"), F.col("headline")).alias("computed"))
+
+
 _TEXT = f"concat_ws(' ', nullif({_strip('headline')}, ''), nullif({_strip('summary')}, ''))"
 
 
@@ -379,8 +400,121 @@ def bar_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("source_api", "bar_interval").agg(F.count(F.lit(1)).alias("n_rows"), F.count("close").alias("n_close"), F.min("bar_ts").alias("first_ts"), F.max("bar_ts").alias("last_ts"))
 
 
+# -- payloads, helpers and models -----------------------------------------------------------------------------
+_YAHOO = "SELECT upper(symbol) AS symbol, date_trunc('second', bar_ts) AS timestamp, open, high, low, close, volume, coalesce(dividends, 0) AS dividends, coalesce(stock_splits, 0) AS splits FROM b WHERE source_api = 'yfinance' AND bar_interval = '1d'"
+
+
+@query(_with(_B) + _YAHOO)
+def yahoo_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars written as chart responses, dividends and splits as events, and read back."""
+    b = bars(spark, sf_dir).where("source_api = 'yfinance' and bar_interval = '1d'")
+    at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', bar_ts)")
+    event = lambda c, **fields: F.when(F.col(c) != 0, F.create_map(at.cast("string"), F.struct(*(v.alias(k) for k, v in fields.items()))))
+    quote = F.struct(*(F.array(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    result = F.struct(F.array(at).alias("timestamp"), F.struct(event("dividends", amount=F.col("dividends")).alias("dividends"), event("stock_splits", numerator=F.col("stock_splits"), denominator=F.lit(1.0)).alias("splits")).alias("events"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    payloads = b.select(F.lower("symbol").alias("symbol"), F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("payload"))
+    return normalize.yahoo_payload_bars(payloads).withColumnRenamed("stock splits", "splits")
+
+
+@query(_with(_B) + "SELECT upper(symbol) AS symbol, date_trunc('second', bar_ts) AS timestamp, 2 * open AS open, 2 * close AS close, volume FROM b WHERE source_api = 'yfinance' AND bar_interval = '1d' AND close IS NOT NULL AND close <> 0")
+def yahoo_payload_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with an adjusted close twice the close: all prices are twice as high."""
+    b = bars(spark, sf_dir).where("source_api = 'yfinance' and bar_interval = '1d' and close is not null and close <> 0")
+    at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', bar_ts)")
+    quote = F.struct(*(F.array(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    result = F.struct(F.array(at).alias("timestamp"), F.struct(F.array(quote).alias("quote"), F.array(F.struct(F.array(F.col("close") * 2).alias("adjclose"))).alias("adjclose")).alias("indicators"))
+    payloads = b.select("symbol", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("payload"))
+    return normalize.yahoo_payload_bars(payloads, adjust=True).select("symbol", "timestamp", "open", "close", "volume")
+
+
+@query(_with(_B) + "SELECT source_api, symbol, bar_interval, bar_ts, open, close, dividends, stock_splits FROM b WHERE source_api = 'yfinance' AND bar_interval = '1d'")
+def yahoo_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars in a frame as that vendor's library gives it: a Date with an offset, capitalised names."""
+    b = bars(spark, sf_dir).where("source_api = 'yfinance' and bar_interval = '1d'")
+    local = F.date_format(F.col("bar_ts") - F.expr("interval 4 hours"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    raw = b.select(F.concat(local, F.lit("-04:00")).alias("Date"), "symbol", *(F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume", "dividends")), F.col("stock_splits").alias("Stock Splits"))
+    return store.bar_rows(normalize.yahoo_bars(raw), "yfinance", "1d").select("source_api", "symbol", "bar_interval", "bar_ts", "open", "close", "dividends", "stock_splits")
+
+
+@query(_with(_B) + "SELECT upper(symbol) AS symbol, date_trunc('second', bar_ts) AS timestamp, open, high, low, close, volume, trade_count, vwap FROM b WHERE source_api = 'alpaca' AND bar_interval = '1h'")
+def alpaca_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars written as pages of that vendor and read back."""
+    b = bars(spark, sf_dir).where("source_api = 'alpaca' and bar_interval = '1h'")
+    bar = F.struct(F.date_format("bar_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("trade_count").alias("n"), F.col("vwap").alias("vw"))
+    return normalize.alpaca_payload_bars(b.select("symbol", F.to_json(F.struct(F.array(bar).alias("bars"), F.lit("more").alias("next_page_token"))).alias("payload")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of unknown layout, as a profile endpoint gives them: lists, single objects and answers that are neither."""
+    n = table(spark, sf_dir, "nation")
+    record = F.to_json(F.struct("n_nationkey", "n_name"))
+    payloads = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("["), record, F.lit("]"))).otherwise(record).alias("payload")).unionByName(spark.createDataFrame([("17",), (None,), ("[]",)], "payload string"))
+    return normalize.json_records(spark, payloads).select("n_nationkey", "n_name")
+
+
+@query("SELECT symbol, count(*) AS n_bars FROM bars WHERE source_api = 'alpaca' AND bar_interval = '1d' GROUP BY symbol")
+def bars_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.bars_frame(table(spark, sf_dir, "bars"), bar_interval="1d", source_api="alpaca").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+
+
+@query(_with(_A) + "SELECT least(50, count(*)) AS n_50, 0::BIGINT AS n_0, least(5, count(*) FILTER (symbol = 'QUVEN')) AS n_of_symbol FROM a")
+def articles_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows limited reads give; a limit of zero is zero, and limits come after filters."""
+    a = articles(spark, sf_dir)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(store.articles_frame(a, limit=50), "n_50").crossJoin(n(store.articles_frame(a, limit=0), "n_0")).crossJoin(n(store.articles_frame(a, "QUVEN", limit=5), "n_of_symbol"))
+
+
+@query("SELECT 'bars' AS name, 1 AS version")
+def tables_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the stored tables but those like a pattern, and the version of the layout."""
+    import uuid
+
+    from newsloom.runtime import shared_dir
+
+    s = store.Store(spark, f"{shared_dir(spark)}/newsloom/store-{uuid.uuid4().hex}")
+    s.init_schema()
+    return s.names("article%").withColumn("version", F.lit(s.schema_version()))
+
+
+@query("SELECT * FROM (VALUES ('1', true), (' TRUE', true), ('Yes', true), ('on ', true), ('0', false), ('no', false), ('', false), (NULL, false)) t(text, is_on)")
+def truthy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame([("1",), (" TRUE",), ("Yes",), ("on ",), ("0",), ("no",), ("",), (None,)], "text string")
+    return texts.select("text", clean.truthy(F.col("text")).alias("is_on"))
+
+
+@query(_with(_B, "r AS (SELECT vwap / open - 1 AS p FROM b WHERE bar_interval = '1d' AND open > 0)") + "SELECT count(p) AS n, round(avg(p), 9) AS mean, round(stddev_pop(p), 9) AS std FROM r")
+def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bars(spark, sf_dir).where("bar_interval = '1d' and open > 0").select((F.col("vwap") / F.col("open") - 1).alias("p"))
+    return features.prediction_summary(rows, "p").select("n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+@query(_with(_A, _B, _S, _C, _SCORED, _CUTOFF, _AGG, _BARS_LABELLED, _TRAIN) + "SELECT symbol, bar_ts, coalesce(sentiment_mean, 0) AS x0, coalesce(sentiment_n, 0)::DOUBLE AS x1, coalesce(sentiment_std, 0) AS x2, (sentiment_mean IS NOT NULL)::INT::DOUBLE AS x3 FROM train")
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the trees read of each row, gaps filled, and whether there was news."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model.feature_matrix(features.training_frame(*_all(spark, sf_dir), MODEL)).withColumn("x", vector_to_array("features"))
+    return rows.select("symbol", "bar_ts", *(F.round(F.col("x")[k], 9).alias(f"x{k}") for k in range(4)))
+
+
+def _by_length():
+    """A scorer for tests: probabilities from the length of a text."""
+    return lambda texts: [{"prob_pos": len(t) % 10 / 20, "prob_neg": len(t) % 7 / 20} for t in texts]
+
+
+@query(
+    _with(_A, f"t AS (SELECT dedupe_key, {_TEXT} AS text FROM a)")
+    + "SELECT dedupe_key, CASE WHEN text <> '' THEN length(text) % 10 / 20.0::DOUBLE - length(text) % 7 / 20.0::DOUBLE END AS score, CASE WHEN text <> '' THEN length(text) % 10 / 20.0::DOUBLE END AS prob_pos, NULL::DOUBLE AS prob_neutral, CASE WHEN text <> '' THEN sha256(text) END AS text_hash, CASE WHEN text = '' THEN 'empty_text' END AS error FROM t"
+)
+def scorer_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through a scorer on the workers, batch by batch; answers go back by key."""
+    return scoring.score_with(articles(spark, sf_dir), _by_length, "by-length").select("dedupe_key", "score", "prob_pos", "prob_neutral", "text_hash", "error")
+
+
 # -- streams --------------------------------------------------------------------------------------------------
-@query()
+@query(_with(_A, _C) + "SELECT dedupe_key, published_at, day AS nyse_session FROM a LEFT JOIN cal ON published_at >= prev_close AND published_at < open_utc")
 def streaming_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles read as a stream, deduplicated, with their target session, written by a file sink."""
     import uuid
@@ -391,6 +525,6 @@ def streaming_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/articles.parquet"
     src = spark.readStream.schema(table(spark, sf_dir, "articles").schema).parquet(path if os.path.isdir(path) else f"{sf_dir}/articles*.parquet")
     out = f"{shared_dir(spark)}/newsloom/stream-{uuid.uuid4().hex}"
-    chosen = stream.with_sessions(stream.deduplicated(src, "120 days")).select("dedupe_key", "symbol", "published_at", "nyse_session")
+    chosen = stream.with_sessions(stream.deduplicated(src, "120 days")).select("dedupe_key", "published_at", "nyse_session")
     chosen.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(chosen.schema).parquet(f"{out}/rows")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests, one machine) is a local one set."""
+    """The folder all executors share. Where the session names none a local one is set on one machine; on a cluster, whose
+    executors could not read each other's parts there, it raises."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[\w*, ]+\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no folder that the executors of {master} share")
         where = tempfile.mkdtemp(prefix="newsloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -56,13 +61,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/newsloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_text(lines: DataFrame, name: str) -> str:
+    """Write a column of texts as lines into the shared folder; the path."""
+    path = _new_path(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: a cut of the lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/newsloom/{name}-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove all cuts of this application; frames that read them are of no use afterwards."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/newsloom/{sc.applicationId}")
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def earliest(df: DataFrame, keys: Sequence[str], ties: Sequence[str] = (), at: str = "ingested_at") -> DataFrame:
     """The row with the earliest `at` of each key.
 

@@ -63,5 +63,15 @@ def load_yaml(path: str) -> IngestConfig:
     return from_mapping(raw)
 
 
+def load_env(path: str = ".env") -> None:
+    """Settings of a .env file (NAME=value lines) into the environment; what is set there already stays."""
+    if not Path(path).is_file():
+        return
+    for line in Path(path).read_text(encoding="utf-8").splitlines():
+        name, is_setting, value = line.strip().removeprefix("export ").partition("=")
+        if is_setting and name.strip().isidentifier():
+            os.environ.setdefault(name.strip(), value.strip().strip("'\""))
+
+
 def data_dir(given: str | None = None) -> str:
     return given or os.environ.get("NEWSLOOM_DATA_DIR") or "./data_store"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import clean
+from newsloom.runtime import cut_text
 from newsloom.schemas import NEWS
 
 CONTENT_LIMIT = 2000
@@ -71,12 +72,23 @@ def alpaca_payload_bars(payloads: DataFrame) -> DataFrame:
     return b.select(F.upper("symbol").alias("symbol"), clean.utc(F.col("b.t")).alias("timestamp"), F.col("b.o").alias("open"), F.col("b.h").alias("high"), F.col("b.l").alias("low"), F.col("b.c").alias("close"), F.col("b.v").alias("volume"), F.col("b.n").alias("trade_count"), F.col("b.vw").alias("vwap"))
 
 
-def yahoo_payload_bars(payloads: DataFrame) -> DataFrame:
-    """symbol, payload (chart response) -> price rows."""
-    spec = "chart struct<result:array<struct<timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>>>>>"
-    r = payloads.select("symbol", F.from_json("payload", spec)["chart"]["result"][0].alias("r")).select("symbol", F.col("r.timestamp").alias("timestamp"), F.col("r.indicators.quote")[0].alias("q"))
-    z = r.select("symbol", F.explode(F.arrays_zip("timestamp", "q.open", "q.high", "q.low", "q.close", "q.volume")).alias("z"))
-    return z.select(F.upper("symbol").alias("symbol"), clean.from_epoch_seconds(F.col("z")["timestamp"]).alias("timestamp"), *(F.col("z")[c].alias(c) for c in ("open", "high", "low", "close", "volume")))
+def yahoo_payload_bars(payloads: DataFrame, adjust: bool = False) -> DataFrame:
+    """symbol, payload (chart response) -> price rows with dividends and splits (zero where there are none). adjust: prices
+    times adjusted close over close."""
+    spec = (
+        "chart struct<result:array<struct<timestamp:array<bigint>,events:struct<dividends:map<string,struct<amount:double>>,splits:map<string,struct<numerator:double,denominator:double>>>,"
+        "indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>,adjclose:array<struct<adjclose:array<double>>>>>>>"
+    )
+    r = payloads.select("symbol", F.from_json("payload", spec)["chart"]["result"][0].alias("r"))
+    r = r.select("symbol", F.col("r.timestamp").alias("timestamp"), F.col("r.indicators.quote")[0].alias("q"), F.col("r.indicators.adjclose")[0]["adjclose"].alias("adjclose"), F.col("r.events").alias("e"))
+    z = r.select("symbol", "e", F.explode(F.arrays_zip("timestamp", *(F.coalesce(c, F.array().cast("array<double>")).alias(c.split(".")[-1]) for c in ("q.open", "q.high", "q.low", "q.close", "q.volume", "adjclose")))).alias("z"))
+    at = F.col("z")["timestamp"].cast("string")
+    split = F.col("e.splits")[at]
+    factor = F.coalesce(F.try_divide(F.col("z")["adjclose"], F.col("z")["close"]), F.lit(1.0)) if adjust else F.lit(1.0)
+    return z.select(
+        F.upper("symbol").alias("symbol"), clean.from_epoch_seconds(F.col("z")["timestamp"]).alias("timestamp"), *((F.col("z")[c] * factor).alias(c) for c in ("open", "high", "low", "close")), F.col("z")["volume"].alias("volume"),
+        F.coalesce(F.col("e.dividends")[at]["amount"], F.lit(0.0)).alias("dividends"), F.coalesce(F.try_divide(split["numerator"], split["denominator"]), F.lit(0.0)).alias("stock splits"),
+    )
 
 
 def json_error(payload: Column) -> Column:
@@ -93,4 +105,5 @@ def json_records(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     """A list gives its rows, an object one row, anything else none; the columns are taken from the payloads."""
     p = F.trim("payload")
     one = payloads.where("payload is not null").select(F.when(p.startswith("["), F.from_json(p, "array<string>")).when(p.startswith("{"), F.array(p)).alias("a")).select(F.explode("a").alias("value"))
-    return spark.read.json(one.rdd.map(lambda r: r.value)) if not one.isEmpty() else spark.createDataFrame([], "symbol string")
+    lines = cut_text(one.select(F.regexp_replace("value", r"[\r\n]", " ")), "records")  # a line break stands between fields only
+    return spark.read.json(lines) if not one.isEmpty() else spark.createDataFrame([], "symbol string")

@@ -37,6 +37,7 @@ BASES = {
     "fmp": "https://financialmodelingprep.com/stable",
 }
 KEY_VARIABLES = {"finnhub": ["FINNHUB_API_KEY"], "newsapi": ["NEWSAPI_API_KEY"], "alpaca": ["APCA_API_KEY_ID", "ALPACA_API_KEY"], "fmp": ["FMP_API_KEY"], "yfinance": []}
+SECRET_VARIABLES = ["APCA_API_SECRET_KEY", "ALPACA_SECRET_KEY"]
 #: Bar sizes as one vendor spells them.
 ALPACA_UNITS = {"minute": "Min", "hour": "Hour", "day": "Day", "week": "Week", "month": "Month"}
 #: Where a request that names only its end starts: 1900-01-01, in seconds since 1970.
@@ -51,6 +52,20 @@ def credential(vendor: str, given: str | None = None) -> str | None:
     return given or next((v for k in KEY_VARIABLES[vendor] if (v := os.environ.get(k))), None)
 
 
+def required_credential(vendor: str, given: str | None = None) -> str | None:
+    """The key of a vendor that asks for one; without it, an error that names the variables."""
+    key = credential(vendor, given)
+    if key is None and KEY_VARIABLES[vendor]:
+        raise VendorError(f"{vendor}: no key; set {' or '.join(KEY_VARIABLES[vendor])}")
+    return key
+
+
+def paper_account(given: str | None = None) -> bool:
+    """Whether the account is one for practice: ALPACA_PAPER, yes unless it says otherwise."""
+    text = given if given is not None else os.environ.get("ALPACA_PAPER", "true")
+    return text.strip().lower() in ("1", "true", "yes", "on")
+
+
 def timeframe(interval: str) -> tuple[int, str]:
     """Amount and unit of a bar size; an unknown code raises."""
     try:
@@ -86,6 +101,11 @@ def checked_payload(text: str) -> str:
     return text
 
 
+def truthy(options: dict[str, str], name: str, default: bool = False) -> bool:
+    given = options.get(name)
+    return default if given is None else str(given).strip().lower() in ("1", "true", "yes", "on")
+
+
 def search_pages(fetch: Callable[[int, int], str], page_size: int = PAGE_LIMIT, max_pages: int = 5) -> Iterator[str]:
     """Pages of a search until one is short, all results are there, or the limit of pages or of the plan is reached."""
     size, seen = max(1, min(page_size, PAGE_LIMIT)), 0
@@ -131,7 +151,7 @@ class Request:
 
 def pages(request: Request, symbol: str) -> Iterator[str]:
     """The payloads of one symbol."""
-    o, base, key = request.options, request.options.get("base") or BASES[request.vendor], credential(request.vendor, request.options.get("api_key"))
+    o, base, key = request.options, request.options.get("base") or BASES[request.vendor], required_credential(request.vendor, request.options.get("api_key"))
     day = lambda s: s[:10] if s else None
     if request.vendor == "finnhub":
         if request.what == "quote":
@@ -141,21 +161,24 @@ def pages(request: Request, symbol: str) -> Iterator[str]:
     elif request.vendor == "newsapi":
         header = {"X-Api-Key": key or ""}
         if request.what == "headlines":
-            yield get(with_query(f"{base}/top-headlines", category=o.get("category"), country=o.get("country", "us"), q=o.get("q"), pageSize=o.get("page_size", PAGE_LIMIT)), header)
+            yield get(with_query(f"{base}/top-headlines", category=o.get("category"), country=o.get("country", "us"), q=o.get("q"), pageSize=max(1, min(PAGE_LIMIT, int(o.get("page_size", PAGE_LIMIT))))), header)
             return
         query = f"({symbol}) OR ({o['extra']})" if o.get("extra") else symbol
         ask = lambda page, size: get(with_query(f"{base}/everything", q=query, **{"from": day(request.start)}, to=day(request.end), language=o.get("language", "en"), sortBy=o.get("sort_by", "publishedAt"), pageSize=size, page=page), header)
         yield from search_pages(ask, int(o.get("page_size", PAGE_LIMIT)), int(o.get("max_pages", 5)))
     elif request.vendor == "alpaca":
         amount, unit = timeframe(o.get("interval", "1d"))
-        header = {"APCA-API-KEY-ID": key or "", "APCA-API-SECRET-KEY": o.get("secret_key") or os.environ.get("APCA_API_SECRET_KEY", "")}
+        secret = o.get("secret_key") or next((v for k in SECRET_VARIABLES if (v := os.environ.get(k))), None)
+        if not secret:
+            raise VendorError(f"alpaca: no secret; set {' or '.join(SECRET_VARIABLES)}")
+        header = {"APCA-API-KEY-ID": key or "", "APCA-API-SECRET-KEY": secret}
         ask = lambda token: get(with_query(f"{base}/{symbol}/bars", timeframe=f"{amount}{ALPACA_UNITS[unit]}", start=request.start, end=request.end, feed=o.get("feed"), limit=10_000, page_token=token), header)
         yield from token_pages(ask)
     elif request.vendor == "yfinance":
         first, last = o.get("period1", epoch_seconds(request.start)), o.get("period2", epoch_seconds(request.end))
         if first is not None or last is not None:  # the endpoint takes both or none
             first, last = EARLIEST if first is None else first, int(time.time()) if last is None else last
-        yield get(with_query(f"{base}/{symbol}", interval=o.get("interval", "1d"), period1=first, period2=last, range=o.get("period", "1mo") if first is None else None))
+        yield get(with_query(f"{base}/{symbol}", interval=o.get("interval", "1d"), period1=first, period2=last, range=o.get("period", "1mo") if first is None else None, includePrePost="true" if truthy(o, "prepost") else None, events="div,splits" if truthy(o, "actions", True) else None))
     else:
         yield checked_payload(get(with_query(f"{base}/{o.get('path', 'profile')}", symbol=symbol, apikey=key)))
 
@@ -218,7 +241,13 @@ class Vendor:
 
     def bars(self, symbols: list[str] | str, **options: object) -> DataFrame:
         rows = self.payloads(symbols, what="bars", **options).where("payload is not null")
-        return (normalize.alpaca_payload_bars if self.vendor == "alpaca" else normalize.yahoo_payload_bars)(rows)
+        if self.vendor == "alpaca":
+            return normalize.alpaca_payload_bars(rows)
+        return normalize.yahoo_payload_bars(rows, adjust=truthy({k: str(v) for k, v in (self.options | options).items()}, "auto_adjust"))
+
+    def headlines(self, **options: object) -> DataFrame:
+        """Top headlines of a country or category; an answer that is not ok gives no rows."""
+        return normalize.newsapi_news(self.payloads(["TOP"], what="headlines", **options).where("payload is not null").withColumn("symbol", F.lit(None).cast("string")))
 
     def quote(self, symbols: list[str] | str, **options: object) -> DataFrame:
         return self.payloads(symbols, what="quote", **options).select("symbol", "payload", "error")

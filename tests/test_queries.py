@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from newsloom import registry
 
-TABLES = ["bars", "articles", "article_sentiment", "documents", "eval_items", "moderation_labels", "events"]
+TABLES = ["bars", "articles", "article_sentiment", "documents", "eval_items", "moderation_labels", "events", "nation"]
 
 
 @pytest.fixture(scope="module")

@@ -109,7 +109,7 @@ def test_alpaca_reads_all_pages(monkeypatch):
         return json.dumps(answers[asked[-1].get("page_token")])
 
     monkeypatch.setattr(vendors, "get", get)
-    request = vendors.Request("alpaca", "bars", "2024-06-03", "2024-07-03", {"interval": "1m"})
+    request = vendors.Request("alpaca", "bars", "2024-06-03", "2024-07-03", {"interval": "1m", "api_key": "k", "secret_key": "s"})
     assert [json.loads(t)["bars"][0]["t"] for t in vendors.pages(request, "AAPL")] == [1, 2, 3]
     assert [a.get("page_token") for a in asked] == [None, "a==", "b"] and {(a["start"], a["end"], a["timeframe"]) for a in asked} == {("2024-06-03", "2024-07-03", "1Min")}
     answers["b"]["next_page_token"] = "a=="
@@ -131,4 +131,63 @@ def test_yfinance_asks_for_the_dates(monkeypatch, start, end, want):
     asked = []
     monkeypatch.setattr(vendors, "get", lambda url, *_: asked.append(dict(parse_qsl(urlsplit(url).query))) or "{}")
     monkeypatch.setattr(vendors.time, "time", lambda: 1_800_000_000.5)
-    assert list(vendors.pages(vendors.Request("yfinance", "bars", start, end), "AAPL")) == ["{}"] and asked == [{"interval": "1d"} | want]
+    assert list(vendors.pages(vendors.Request("yfinance", "bars", start, end), "AAPL")) == ["{}"] and asked == [{"interval": "1d", "events": "div,splits"} | want]
+
+
+@pytest.mark.parametrize(("vendor", "what", "names"), [("finnhub", "news", "FINNHUB_API_KEY"), ("newsapi", "headlines", "NEWSAPI_API_KEY"), ("fmp", "profile", "FMP_API_KEY"), ("alpaca", "bars", "APCA_API_KEY_ID")])
+def test_a_missing_key_raises_before_anything_is_asked(monkeypatch, vendor, what, names):
+    for names_ in vendors.KEY_VARIABLES.values():
+        for n in names_:
+            monkeypatch.delenv(n, raising=False)
+    monkeypatch.setattr(vendors, "get", lambda *_: pytest.fail("asked"))
+    with pytest.raises(vendors.VendorError, match=names):
+        list(vendors.pages(vendors.Request(vendor, what), "AAPL"))
+
+
+def test_a_missing_secret_raises(monkeypatch):
+    for n in vendors.SECRET_VARIABLES:
+        monkeypatch.delenv(n, raising=False)
+    with pytest.raises(vendors.VendorError, match="APCA_API_SECRET_KEY"):
+        list(vendors.pages(vendors.Request("alpaca", "bars", options={"api_key": "k"}), "AAPL"))
+
+
+def test_headlines_clamp_and_bad_answers(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(vendors, "get", lambda url, *_: asked.append(dict(parse_qsl(urlsplit(url).query))) or "{}")
+    for size, want in (("500", "100"), ("0", "1"), ("7", "7")):
+        list(vendors.pages(vendors.Request("newsapi", "headlines", options={"api_key": "k", "page_size": size}), "TOP"))
+        assert asked[-1]["pageSize"] == want and asked[-1]["country"] == "us"
+    root = tmp_path / "newsapi"
+    root.mkdir()
+    v = vendors.Vendor(spark, "newsapi", {"landing": str(tmp_path)})
+    (root / "TOP.json").write_text(json.dumps({"status": "error", "code": "x", "message": "m"}))
+    assert v.headlines().count() == 0
+    (root / "TOP.json").write_text(json.dumps({"status": "ok", "articles": [{"title": "t", "url": "u", "publishedAt": "2024-07-01T00:00:00Z", "source": {"name": "n"}}]}))
+    assert [(r.headline, r.symbol) for r in v.headlines().collect()] == [("t", None)]
+
+
+def test_yfinance_options(monkeypatch):
+    asked = []
+    monkeypatch.setattr(vendors, "get", lambda url, *_: asked.append(dict(parse_qsl(urlsplit(url).query))) or "{}")
+    list(vendors.pages(vendors.Request("yfinance", "bars", options={"prepost": "true", "actions": "no"}), "AAPL"))
+    assert asked == [{"interval": "1d", "range": "1mo", "includePrePost": "true"}]
+
+
+def test_paper_account(monkeypatch):
+    monkeypatch.delenv("ALPACA_PAPER", raising=False)
+    assert vendors.paper_account() and not vendors.paper_account("no")
+    monkeypatch.setenv("ALPACA_PAPER", "0")
+    assert not vendors.paper_account()
+
+
+def test_env_file(tmp_path, monkeypatch):
+    from newsloom.sources import config
+
+    monkeypatch.setenv("NEWSLOOM_GIVEN", "kept")
+    monkeypatch.delenv("NEWSLOOM_NEW", raising=False)
+    (tmp_path / ".env").write_text("# comment\nNEWSLOOM_GIVEN=other\nexport NEWSLOOM_NEW = 'a=b'\n\nnot a setting\n")
+    config.load_env(str(tmp_path / ".env"))
+    import os
+
+    assert os.environ["NEWSLOOM_GIVEN"] == "kept" and os.environ.pop("NEWSLOOM_NEW") == "a=b"
+    config.load_env(str(tmp_path / "none"))
