@@ -244,7 +244,11 @@ def components(edges: DataFrame) -> DataFrame:
 def stories(articles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per article with words: dedupe_key, class_id, story_id (least class of the story), n_links (similar classes)."""
     members, links = similar_classes(articles, threshold)
-    links = cut(links, "links")
+    members = cut(members, "members")
+    own = members.select("cid").distinct()  # texts of deliveries that don't count link nothing
+    for side in ("cid_a", "cid_b"):
+        links = links.join(own.withColumnRenamed("cid", side), side, "left_semi")
+    links = cut(links.select("cid_a", "cid_b"), "links")
     root = components(links.select(F.col("cid_a").alias("u"), F.col("cid_b").alias("v")))
     degree = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     return (
