@@ -9,7 +9,9 @@ the larger and the first m - ceil(2t/(1+t) m) + 1 of the smaller: every such pai
 Where classes meet, they are compared by bitmaps: every word flips one of BITS bits, so two bitmaps never differ in more
 bits than their classes have words apart, and a pair that differs in more bits than the threshold allows in words is
 none. Neither step loses a pair, and what remains is checked on the word sets. The meetings of a word are compared in
-tiles of a fixed size; words of more than BLOCK texts are split over several tasks.
+tiles of a fixed size; the larger ones of a word of more than BLOCK classes are split into blocks. A task holds one block
+and lets all smaller ones of the word pass by in parts, and it hands on what it finds in parts, so its memory depends
+neither on the classes of a word nor on the pairs among them.
 
 A class collapses copies before any pair is formed. The number of meetings grows with the square of the texts that share
 a word of their prefixes, so it is in proportion to the texts only where these words are rare.
@@ -34,8 +36,10 @@ from newsloom.runtime import cut, earliest, ship
 
 #: Bits of a bitmap, 64 to a word; the first DENSE words are compared for all meetings, the rest where those agree.
 BITS, DENSE = 192, 2
-#: Texts of a word up to which one task compares them all; rows and columns of a tile.
+#: Classes of a word that one task holds; rows and columns of a tile.
 BLOCK, TILE = 50_000, (64, 4096)
+#: Words or rows laid out at once; smaller classes compared at once; meetings held until they are looked at closely, and pairs until they are handed on.
+LAID, PASSING, HITS = 1 << 17, 1 << 14, 1 << 17
 BUCKETS = 1 << 18
 THRESHOLD = 0.6
 
@@ -74,12 +78,34 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
 
+def _frequent(shared):
+    """Bucket and class for each word of a frequent bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for b in batches:
+            bucket = b.column(1).flatten().to_numpy().view(np.uint32) % np.uint32(BUCKETS)
+            kept = np.flatnonzero(frequent[bucket])
+            cid = np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[kept].astype(np.int64)), pa.array(cid[kept])], names=["bucket", "cid"])
+
+    return run
+
+
 def word_counts(described: DataFrame) -> np.ndarray:
-    """Per word bucket the texts that have its words (a word counts in each). Its size is fixed."""
+    """Per word bucket the texts that have its words (a word counts in each); beyond BLOCK the classes, to within some
+    percent, as copies take no room in a block. Its size is fixed."""
     counts = described.select("words").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()  # at most BUCKETS rows
     n = np.zeros(BUCKETS, np.int64)
     n[rows.bucket.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
+    if (n >= BLOCK).any():
+        shared = described.sparkSession.sparkContext.broadcast(n >= BLOCK)
+        of = described.where("cid is not null").select("cid", "words").mapInArrow(_frequent(shared), "bucket bigint, cid bigint")
+        rows = of.groupBy("bucket").agg(F.approx_count_distinct("cid").alias("n")).toPandas()
+        at = rows.bucket.to_numpy(np.int64)
+        # the count may be a little off; a word of several texts stays one that may meet
+        n[at] = np.clip(rows.n.to_numpy(np.int64), 2, n[at])
     return n
 
 
@@ -99,19 +125,28 @@ PREFIX = f"key bigint, cid bigint, role int, size int, {', '.join(f's{k} bigint'
 PROBE, INDEX = 1, 2
 
 
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to at most `most`; what is larger makes a range of its own."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), "right")))
+        yield start, end
+        start = end
+
+
 def _prefixes(shared, threshold: float):
-    """A row for each word of a class's prefix: as the larger of a pair (PROBE) and, for a shorter prefix, as the smaller (INDEX)."""
+    """A row for each word of a class's prefix: as the larger of a pair (PROBE) and, for a shorter prefix, as the smaller (INDEX).
+    The key is the word and its block. A row that is INDEX alone only passes by the classes of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for whole in batches:
-            for k in range(0, whole.num_rows, 4000):
-                b = whole.slice(k, 4000)
+            for first, last in _parts(whole.column(1).value_lengths().to_numpy().astype(np.int64), LAID):
+                b = whole.slice(first, last - first)
                 cid = b.column(0).to_numpy()
-                words = [np.asarray(w, np.int32).view(np.uint32) for w in b.column(1).to_numpy(zero_copy_only=False)]
-                n = np.array([len(w) for w in words], np.int64)
+                n = b.column(1).value_lengths().to_numpy().astype(np.int64)
                 starts = np.cumsum(n) - n
-                flat, owner = np.concatenate(words), np.repeat(np.arange(len(n)), n)
+                flat, owner = b.column(1).flatten().to_numpy().view(np.uint32), np.repeat(np.arange(len(n)), n)
                 maps = bitmaps(flat, starts)
                 texts = counts[(flat % np.uint32(BUCKETS)).astype(np.int64)]
                 order = np.lexsort((flat, texts, owner))
@@ -119,78 +154,124 @@ def _prefixes(shared, threshold: float):
                 probe = place <= (n - _needed(n, threshold))[owner]
                 index = place <= (n - _needed(n, 2 * threshold / (1 + threshold)))[owner]
                 kept = np.flatnonzero((probe | index) & (texts > 1))  # a word of one text meets nothing
-                blocks, of = 1 + texts[kept] // BLOCK, owner[kept]
-                own = cid[of] % blocks
-                role = probe[kept] * PROBE + index[kept] * INDEX
-                # every block holds all of the index and its share of the probes
+                blocks = 1 + texts[kept] // BLOCK
+                # every block meets all of the index and holds its share of the probes
                 more = np.where(index[kept], blocks, 1)
-                row = np.repeat(np.arange(len(kept)), more)
-                block = np.where(index[kept][row], np.arange(len(row)) - (np.cumsum(more) - more)[row], own[row])
-                role = np.where(block == own[row], role[row], INDEX)
-                key = flat[kept][row].astype(np.int64) << 31 | block
-                of = of[row]
-                columns = [key, cid[of], role.astype(np.int32), n[of].astype(np.int32), *(m[of].view(np.int64) for m in maps)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PREFIX.split(", ")])
+                for start, end in _parts(more, LAID):
+                    k, m = kept[start:end], more[start:end]
+                    row = np.repeat(np.arange(len(k)), m)
+                    own = (cid[owner[k]] % blocks[start:end])[row]
+                    block = np.where(index[k][row], np.arange(len(row)) - (np.cumsum(m) - m)[row], own)
+                    role = np.where(block == own, (probe[k] * PROBE + index[k] * INDEX)[row], INDEX)
+                    key = flat[k][row].astype(np.int64) << 31 | block
+                    of = owner[k][row]
+                    columns = [key, cid[of], role.astype(np.int32), n[of].astype(np.int32), *(x[of].view(np.int64) for x in maps)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PREFIX.split(", ")])
 
     return run
 
 
-def _compared(group: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the classes that meet at a word which size and bitmaps leave possible."""
+def _by_size(parts: list[list[np.ndarray]], role: int) -> list[np.ndarray]:
+    """Class, size and bitmaps of the rows with the role, in order of their sizes."""
+    cid, roles, size, *maps = (np.concatenate(c) for c in list(zip(*parts))[1:])
+    own = np.flatnonzero(roles & role)
+    own = own[np.argsort(size[own], kind="stable")]
+    return [cid[own], size[own].astype(np.int64), *(m[own].view(_U) for m in maps)]
+
+
+def _compared(larger: list[np.ndarray], smaller: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the classes (by size) that size and bitmaps leave possible, a bounded number at once."""
     apart = (1 - threshold) / (1 + threshold)  # of the words of both classes, those that may be in one of them only
-    order = np.argsort(group[3], kind="stable")
-    _, cid, role, size, *maps = (c[order] for c in group)
-    size = size.astype(np.int64)
-    larger, smaller = np.flatnonzero(role & PROBE), np.flatnonzero(role & INDEX)
-    least, sizes, columns = _needed(size[larger], threshold), size[smaller], [m[smaller].view(_U) for m in maps]
-    rows = [m[larger].view(_U)[:, None] for m in maps]
-    found = []
-    for r in range(0, len(larger), TILE[0]):
-        r_end = min(r + TILE[0], len(larger))
-        most = size[larger[r_end - 1]]
-        first, end = np.searchsorted(sizes, least[r]), np.searchsorted(sizes, most, "right")
+    (cid_a, size_a, *rows), (cid_b, size_b, *columns) = larger, smaller
+    least = _needed(size_a, threshold)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def near() -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        d = sum(np.bitwise_count(a[i] ^ b[j]).astype(np.int64) for a, b in zip(rows, columns))
+        ok = (d <= (size_a[i] + size_b[j]) * apart + 1e-9) & (size_b[j] <= size_a[i]) & (size_b[j] >= least[i]) & (cid_a[i] != cid_b[j])
+        a, b = cid_a[i[ok]], cid_b[j[ok]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    hits = 0
+    for r in range(0, len(cid_a), TILE[0]):
+        r_end = min(r + TILE[0], len(cid_a))
+        most = size_a[r_end - 1]
+        first, end = np.searchsorted(size_b, least[r]), np.searchsorted(size_b, most, "right")
         for c in range(first, end, TILE[1]):
             c_end = min(c + TILE[1], end)
-            d = np.bitwise_count(rows[0][r:r_end] ^ columns[0][c:c_end])
+            d = np.bitwise_count(rows[0][r:r_end, None] ^ columns[0][c:c_end])
             for k in range(1, DENSE):
-                d += np.bitwise_count(rows[k][r:r_end] ^ columns[k][c:c_end])
-            bound = np.minimum(255, np.floor((most + sizes[c:c_end]) * apart + 1e-9)).astype(np.uint8)
+                d += np.bitwise_count(rows[k][r:r_end, None] ^ columns[k][c:c_end])
+            bound = np.minimum(255, np.floor((most + size_b[c:c_end]) * apart + 1e-9)).astype(np.uint8)
             hit = np.flatnonzero(d <= bound)
             if len(hit):
                 i, j = np.divmod(hit, c_end - c)
                 found.append((i + r, j + c))
-    if not found:
-        return cid[:0], cid[:0]
-    i, j = (np.concatenate(x) for x in zip(*found))
-    d = sum(np.bitwise_count(a[i, 0] ^ b[j]).astype(np.int64) for a, b in zip(rows, columns))
-    i, j = larger[i], smaller[j]
-    near = (d <= (size[i] + size[j]) * apart + 1e-9) & (size[j] <= size[i]) & (size[j] >= _needed(size[i], threshold)) & (cid[i] != cid[j])
-    a, b = cid[i[near]], cid[j[near]]
-    return np.minimum(a, b), np.maximum(a, b)
+                hits += len(hit)
+            if hits >= HITS:
+                yield near()
+                hits = 0
+    if found:
+        yield near()
 
 
 def _meetings(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the parts so far of the last word; rows come in order of the word
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if sum(len(p[0]) for p in held) > 1:
-                a, b = _compared([np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0], threshold)
+        # rows come block by block: first the classes that it holds, then those that only pass by
+        at = None
+        held: list[list[np.ndarray]] = []
+        passing: list[list[np.ndarray]] = []
+        larger: list[np.ndarray] | None = None  # those held, once they are complete
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        count = lambda parts: sum(len(p[0]) for p in parts)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs))
+                pairs.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cid_a", "cid_b"])
+
+        def met(larger: list[np.ndarray], smaller: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in _compared(larger, smaller, threshold):
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cid_a", "cid_b"])
-            held.clear()
+                    pairs.append((a, b))
+                    if count(pairs) >= HITS or len(pairs) >= 1000:
+                        yield from handed_on()
+
+        def complete() -> Iterator[pa.RecordBatch]:
+            nonlocal larger
+            if larger is None and held:
+                larger = _by_size(held, PROBE)
+                if count(held) > 1:
+                    yield from met(larger, _by_size(held, INDEX))
+                held.clear()
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            yield from complete()
+            if passing and larger is not None:
+                yield from met(larger, _by_size(passing, INDEX))
+            passing.clear()
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
-            key = columns[0]
-            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            key, passes = columns[0], columns[2] == INDEX
+            new = (key[1:] != key[:-1]) | (passes[1:] != passes[:-1])
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
             for start, end in zip(bounds, bounds[1:]):
                 if start == end:
                     continue
-                if held and held[0][0][0] != key[start]:
-                    yield from done()
-                held.append([c[start:end] for c in columns])
-        yield from done()
+                if key[start] != at:
+                    yield from passed()
+                    at, larger = key[start], None
+                if larger is not None and not passes[start]:
+                    raise ValueError("a block holds a class that came after others had passed by")
+                (passing if passes[start] else held).append([c[start:end] for c in columns])
+                if count(passing) >= PASSING:
+                    yield from passed()
+        yield from passed()
+        yield from handed_on()
 
     return run
 
@@ -205,8 +286,10 @@ def similar_classes(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[
     members = earliest(described.select("dedupe_key", "ingested_at", "cid"), ["dedupe_key"], ["cid"]).where("cid is not null and dedupe_key is not null").select("dedupe_key", "cid")
     classes = described.where("cid is not null").groupBy("cid").agg(F.first("words").alias("words"))
     shared = articles.sparkSession.sparkContext.broadcast(word_counts(described))
-    laid = classes.mapInArrow(_prefixes(shared, threshold), PREFIX).repartition("key").sortWithinPartitions("key")
-    met = laid.mapInArrow(_meetings(threshold), "cid_a bigint, cid_b bigint").distinct()
+    laid = classes.mapInArrow(_prefixes(shared, threshold), PREFIX).repartition("key")
+    # one number to sort by; its sign may turn, but blocks stay together
+    laid = laid.sortWithinPartitions(F.shiftleft("key", 1).bitwiseOR((F.col("role") == INDEX).cast("bigint")))
+    met = laid.mapInArrow(_meetings(threshold), "cid_a bigint, cid_b bigint").repartition("cid_a").distinct()
     wa = classes.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa"))
     wb = classes.select(F.col("cid").alias("cid_b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))

@@ -134,3 +134,51 @@ def test_words_split_over_blocks_meet_all_the_same(make_articles, monkeypatch):
     keys = list(words_of)
     met = {(keys[a], keys[b]) for out in similar._meetings(0.6)(laid.to_batches(max_chunksize=11)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
     assert want <= met
+
+
+def of_one_word(rows):
+    """Rows of one word in one block: classes of 50 words whose bitmaps all agree; those after the first few only pass by."""
+    np = similar.np
+    maps = [np.zeros(rows, np.int64) for _ in range(similar.BITS // 64)]
+    role = np.where(np.arange(rows) < 2000, similar.PROBE | similar.INDEX, similar.INDEX)
+    columns = [np.zeros(rows, np.int64), np.arange(rows), role.astype(np.int32), np.full(rows, 50, np.int32), *maps]
+    return similar.pa.Table.from_arrays([similar.pa.array(c) for c in columns], names=[c.split()[0] for c in similar.PREFIX.split(", ")])
+
+
+def test_memory_of_a_word_that_many_texts_share():
+    import tracemalloc
+
+    laid, held = of_one_word(6000), 2000
+    tracemalloc.start()
+    n = largest = 0
+    for out in similar._meetings(0.6)(iter(laid.to_batches(max_chunksize=1000))):
+        n, largest = n + out.num_rows, max(largest, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == held * (held - 1) + held * (6000 - held)  # nothing is lost
+    assert largest < 1_000_000 and peak < 150e6
+
+
+def test_layout_of_a_word_in_many_blocks_comes_in_parts(monkeypatch):
+    np = similar.np
+    monkeypatch.setattr(similar, "BLOCK", 10)
+    words = [np.array([k, 9000 + k], np.uint32).view(np.int32) for k in range(1000)]
+    batch = similar.pa.RecordBatch.from_arrays([similar.pa.array(range(1000), similar.pa.int64()), similar.pa.array(words, similar.pa.list_(similar.pa.int32()))], names=["cid", "words"])
+    shared = type("Shared", (), {"value": np.full(similar.BUCKETS, 20_000)})
+    sizes = [b.num_rows for b in similar._prefixes(shared, 0.6)(iter([batch]))]
+    assert sum(sizes) == 1000 * 2001 and max(sizes) < 200_000
+
+
+def test_copies_do_not_split_a_word(make_articles, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 10)
+    rows = [article(f"k{n}", f"shared own{n % 3}") for n in range(30)]
+    text = make_articles(rows).select("dedupe_key", "ingested_at", "headline", "summary")
+    counts = similar.word_counts(text.mapInArrow(similar._described, "dedupe_key string, ingested_at timestamp_ntz, cid bigint, words array<int>"))
+    assert 2 <= counts.max() <= 9  # 3 classes and no more than one block, where 30 texts would make 4
+
+
+def test_pairs_with_copies_of_frequent_words(make_articles, monkeypatch):
+    rows = templated(8, 30)
+    rows += [dict(r, dedupe_key=f"{r['dedupe_key']}-{c}") for r in rows for c in range(2)]
+    monkeypatch.setattr(similar, "BLOCK", 5)
+    assert set(pairs(make_articles(rows))) == brute(rows)
